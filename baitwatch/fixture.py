@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from baitwatch.operators.detect import analyse_mail
 from baitwatch.operators.validate import valid_mail
+from baitwatch.plans.session import work_folder
 from baitwatch.registry import CORPORA
 
 AS_OF = "2024-02-01 00:00:00"
@@ -235,7 +236,20 @@ def domain_reg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan table, written once per application as a stored table would be."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        path = work_folder(spark, "scans")
+        scored_scans(spark, sf_dir).write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
+def scored_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan table: every valid mail scored, with a note and an arrival time."""
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("mail_id"), "ts")
     scored = analyse_mail(valid_mail(mail(spark, sf_dir)).select("mail_id", "email_text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,15 +20,20 @@ LINE_END = r"\n-\r\x1c-\x1e\x85  "
 
 _WORD = r"\p{L}\p{N}_"
 _BOUNDARY = f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
+# Where the side of a boundary is known, only the other side has to be looked at.
+_WORD_START = re.compile(r"\\b(?=[A-Za-z(]|\\d)")
+_WORD_END = re.compile(r"\\b(?!\[)")
 
 # Characters outside ASCII that match an ASCII letter when case is ignored but
 # that ``lower`` does not turn into that letter.
 _FOLDS = {"ſ": "s", "ı": "i", "İ": "i"}
 
 
-def java_pattern(pattern: str) -> str:
+def java_pattern(pattern: str, flags: str = "(?iu)") -> str:
     """A registry pattern in the dialect of ``rlike``: whole Unicode, case ignored."""
-    return "(?iu)" + (
+    pattern = _WORD_START.sub(lambda _: f"(?<![{_WORD}])", pattern)
+    pattern = _WORD_END.sub(lambda _: f"(?![{_WORD}])", pattern)
+    return flags + (
         pattern.replace(r"\b", _BOUNDARY)
         .replace(r"[\w", f"[{_WORD}")
         .replace(r"\w", f"[{_WORD}]")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from baitwatch.functions.text import strip
 from baitwatch.plans.hash_sample import smallest_by_hash
+from baitwatch.plans.once import once
 from baitwatch.registry import (
     LEGITIMATE_CORPORA,
     MIXED_SAMPLE_ROWS,
@@ -24,7 +25,8 @@ def compose_mail(corpus: DataFrame) -> DataFrame:
         return strip(F.coalesce(F.col(name), F.lit("")))
 
     text = strip(F.concat(part("subject"), F.lit("\n\n"), part("body")))
-    df = corpus.withColumn("email_text", text).drop("subject", "body")
+    kept = [c for c in corpus.columns if c not in ("subject", "body")]
+    df = once(corpus, kept, email_text=text)
     return df.filter(F.col("email_text") != "")
 
 

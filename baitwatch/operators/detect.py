@@ -25,6 +25,7 @@ from baitwatch.operators.text_rules import (
     with_folded,
     with_text_hits,
 )
+from baitwatch.plans.once import exploded, once
 from baitwatch.registry import TEXT_CATEGORIES, TEXT_RULES, WEIGHTS
 
 _GATES = ("credentials", "account_threat")
@@ -51,7 +52,7 @@ def with_findings(mail: DataFrame, text: str = "email_text") -> DataFrame:
         link_findings(F.col(text), F.col(FOLDED), F.col("_urls"), F.col("_links")),
         F.when(F.col("_mismatch").isNotNull(), F.array("_mismatch")).otherwise(no_findings()),
     )
-    return df.select(*keep, findings.cast(FINDINGS).alias("findings"))
+    return once(df, keep, findings=findings.cast(FINDINGS))
 
 
 def analyse_mail(mail: DataFrame, text: str = "email_text") -> DataFrame:
@@ -66,7 +67,7 @@ def analyse_mail(mail: DataFrame, text: str = "email_text") -> DataFrame:
 def long_findings(mail: DataFrame, text: str = "email_text") -> DataFrame:
     """``findings(mail_id, ord, rule, category, message, match)``."""
     df = with_findings(mail.select("mail_id", text), text)
-    rows = df.select("mail_id", F.posexplode("findings").alias("pos", "f"))
+    rows = exploded(df, ["mail_id"], F.col("findings"), "f", "pos")
     return rows.select("mail_id", (F.col("pos") + 1).alias("ord"), "f.*")
 
 
@@ -101,5 +102,5 @@ def score_mail(mail: DataFrame, text: str = "email_text") -> DataFrame:
     for key, weight in WEIGHTS.items():
         if weight:
             total = total + F.when(F.col(f"_c_{key}"), weight).otherwise(0)
-    df = df.select(*keep, total.alias("score"))
+    df = once(df, keep, score=total)
     return df.withColumn("risk_level", risk_level(F.col("score")))

@@ -14,6 +14,7 @@ from baitwatch.functions.findings import FINDINGS, finding
 from baitwatch.functions.text import fill
 from baitwatch.functions.urls import extract_urls, hostname, root_domain
 from baitwatch.plans.lookup import salted_lookup
+from baitwatch.plans.once import exploded
 from baitwatch.registry import (
     DOMAINS_PER_MAIL,
     MESSAGES,
@@ -30,7 +31,7 @@ def link_check_queue(scans: DataFrame, text: str = "email_text") -> DataFrame:
 
 def distinct_urls(mail: DataFrame, key: str = "mail_id", text: str = "email_text") -> DataFrame:
     urls = F.array_distinct(extract_urls(F.col(text)))
-    return mail.select(key, F.explode(urls).alias("url"))
+    return exploded(mail, [key], urls, "url")
 
 
 def capped_domains(
@@ -39,7 +40,7 @@ def capped_domains(
     """The first ``limit`` distinct root domains of every mail, ``pos`` from 1."""
     urls = F.array_distinct(extract_urls(F.col(text)))
     roots = F.array_distinct(F.transform(urls, lambda u: root_domain(hostname(u))))
-    rows = mail.select(key, F.posexplode(F.slice(roots, 1, limit)).alias("pos", "domain"))
+    rows = exploded(mail, [key], F.slice(roots, 1, limit), "domain", "pos")
     return rows.withColumn("pos", F.col("pos") + 1)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from baitwatch.functions.findings import weight_of
+from baitwatch.plans.once import exploded
 from baitwatch.registry import CATEGORIES, HISTORY_PAGE, METER_SEGMENTS, RISK_LEVELS
 
 
@@ -104,7 +105,7 @@ def grouped_findings(scans: DataFrame, key: str = "mail_id") -> DataFrame:
     ranked = F.array_sort(F.transform(
         found, lambda c: F.struct((-weight_of(c)).alias("w"), c.alias("key"))
     ))
-    rows = scans.select(key, "findings", F.posexplode(ranked).alias("place", "c"))
+    rows = exploded(scans, [key, "findings"], ranked, "c", "place")
     messages = F.filter("findings", lambda f: f["category"] == F.col("c.key"))["message"]
     return rows.select(
         key, (F.col("place") + 1).alias("place"), F.col("c.key").alias("category"),

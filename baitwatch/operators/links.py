@@ -14,6 +14,7 @@ from baitwatch.functions import urls as U
 from baitwatch.functions.findings import finding, no_findings
 from baitwatch.functions.text import fill
 from baitwatch.operators.text_rules import FOLDED, with_folded
+from baitwatch.plans.once import exploded, once
 from baitwatch.registry import BRAND_DOMAINS, MESSAGES, SHORTENERS, SUSPICIOUS_TLDS
 
 # Parts a rule key from its message while both travel as one string, so repeats
@@ -23,12 +24,11 @@ _SEP = "\x01"
 
 def url_facts(mail: DataFrame, text: str = "email_text") -> DataFrame:
     """One row per link, repeats kept: ``mail_id, pos, url, host, root, tld, has_userinfo``."""
-    rows = mail.select("mail_id", F.posexplode(U.extract_urls(F.col(text))).alias("pos", "url"))
-    return with_url_parts(rows)
+    return with_url_parts(exploded(mail, ["mail_id"], U.extract_urls(F.col(text)), "url", "pos"))
 
 
 def with_url_parts(rows: DataFrame, url: str = "url") -> DataFrame:
-    rows = rows.withColumn("host", U.hostname(F.col(url)))
+    rows = once(rows, host=U.hostname(F.col(url)))
     rows = rows.withColumn("root", U.root_domain(F.col("host")))
     return rows.withColumns({
         "tld": U.top_level(F.col("root")), "has_userinfo": U.has_userinfo(F.col(url)),
@@ -174,15 +174,17 @@ def tag_links(mail: DataFrame, text: str = "email_text") -> DataFrame:
     """Long table of link findings."""
     df = with_links(mail.select("mail_id", text), text)
     found = link_findings(F.col(text), F.col(FOLDED), F.col("_urls"), F.col("_links"))
-    df = df.select("mail_id", F.posexplode(found).alias("pos", "f"))
-    return df.select("mail_id", (F.col("pos") + 1).alias("ord"), "f.rule", "f.category", "f.message")
+    rows = exploded(df, ["mail_id"], found, "f", "pos")
+    return rows.select(
+        "mail_id", (F.col("pos") + 1).alias("ord"), "f.rule", "f.category", "f.message"
+    )
 
 
 def tag_domain_spoofing(mail: DataFrame, text: str = "email_text") -> DataFrame:
     """Long table of spoofing messages, one row per mail and message."""
     df = with_links(mail.select("mail_id", text), text)
     messages = F.array_distinct(F.flatten(F.transform("_links", spoof_messages)))
-    return df.select("mail_id", F.explode(messages).alias("message"))
+    return exploded(df, ["mail_id"], messages, "message")
 
 
 def links_to(mail: DataFrame, column: str, values, text: str = "email_text") -> DataFrame:

@@ -16,6 +16,7 @@ from baitwatch.functions.mail_headers import (
 )
 from baitwatch.functions.text import contains_any, fill
 from baitwatch.functions.urls import root_domain
+from baitwatch.plans.once import exploded
 from baitwatch.registry import (
     BRAND_DOMAINS,
     HEADER_NAMES,
@@ -28,13 +29,12 @@ from baitwatch.registry import (
 def extract_headers(mail: DataFrame, text: str = "email_text") -> DataFrame:
     """``headers(mail_id, name, value)``, the first line of each name."""
     blocks = mail.select("mail_id", header_block(F.col(text)).alias("block"))
-    blocks = blocks.filter(F.col("block") != "")
     pairs = F.array(*[
         F.struct(F.lit(n).alias("name"), header_value(F.col("block"), n).alias("value"))
         for n in HEADER_NAMES
     ])
-    rows = blocks.select("mail_id", F.explode(pairs).alias("h"))
-    return rows.filter(F.col("h.value").isNotNull()).select("mail_id", "h.name", "h.value")
+    found = F.filter(pairs, lambda h: h["value"].isNotNull())
+    return exploded(blocks, ["mail_id"], found, "h").select("mail_id", "h.name", "h.value")
 
 
 def with_sender(mail: DataFrame, text: str = "email_text") -> DataFrame:
@@ -126,19 +126,14 @@ def sender_findings(s: Column) -> Column:
 
 def sender_addresses(mail: DataFrame, text: str = "email_text") -> DataFrame:
     """Display name and addresses of every mail with a From line."""
-    df = with_sender(mail.select("mail_id", text), text).filter(F.col("_sender").isNotNull())
-    return df.select(
-        "mail_id",
-        F.col("_sender.display").alias("display"),
-        F.col("_sender.address").alias("address"),
-        F.col("_sender.root").alias("root"),
-        F.col("_sender.reply_address").alias("reply_address"),
-        F.col("_sender.return_address").alias("return_address"),
+    df = with_sender(mail.select("mail_id", text), text)
+    return exploded(df, ["mail_id"], F.array("_sender"), "s").select(
+        "mail_id", "s.display", "s.address", "s.root", "s.reply_address", "s.return_address"
     )
 
 
 def tag_sender(mail: DataFrame, text: str = "email_text") -> DataFrame:
     """Long table of sender findings."""
     df = with_sender(mail.select("mail_id", text), text)
-    df = df.select("mail_id", F.posexplode(sender_findings(F.col("_sender"))).alias("pos", "f"))
-    return df.select("mail_id", "f.rule", "f.message")
+    rows = exploded(df, ["mail_id"], sender_findings(F.col("_sender")), "f")
+    return rows.select("mail_id", "f.rule", "f.message")

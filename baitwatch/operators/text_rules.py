@@ -21,6 +21,7 @@ from baitwatch.functions.text import (
     phrases_pattern,
     strip,
 )
+from baitwatch.plans.once import exploded, once
 from baitwatch.registry import (
     ATTACHMENT_MESSAGE,
     ATTACHMENT_PATTERN,
@@ -115,17 +116,17 @@ def drop_repeats(findings: Column) -> Column:
 def tag_text_rules(mail: DataFrame, rules=TEXT_RULES, text: str = "email_text") -> DataFrame:
     """Long table of rule hits before repeats are dropped: one row per mail and rule."""
     hits = with_text_hits(mail.select("mail_id", text), rules, text)
-    rows = hits.select("mail_id", F.explode("_hits").alias("hit"))
-    rows = rows.select(
-        "mail_id", F.col("hit.ord").alias("ord"), F.explode(hit_findings(F.array("hit"))).alias("f")
+    rows = exploded(hits, ["mail_id"], F.col("_hits"), "hit")
+    found = hit_findings(F.array("hit"))[0]
+    return rows.select("mail_id", F.col("hit.ord").alias("ord"), found.alias("f")).select(
+        "mail_id", "ord", "f.*"
     )
-    return rows.select("mail_id", "ord", "f.*")
 
 
 def deduplicated_text_findings(mail: DataFrame, text: str = "email_text") -> DataFrame:
     hits = with_text_hits(mail.select("mail_id", text), text=text)
     tagged = hits.select("mail_id", hit_findings(F.col("_hits")).alias("_text"))
-    kept = tagged.select("mail_id", F.posexplode(drop_repeats(F.col("_text"))).alias("pos", "f"))
+    kept = exploded(tagged, ["mail_id"], drop_repeats(F.col("_text")), "f", "pos")
     return kept.select("mail_id", (F.col("pos") + 1).alias("ord"), "f.*")
 
 
@@ -147,10 +148,9 @@ def attachment_finding(match: Column) -> Column:
 
 
 def tag_attachment(mail: DataFrame, text: str = "email_text") -> DataFrame:
-    found = with_folded(mail.select("mail_id", text), text).select(
-        "mail_id", attachment_match(F.col(text), F.col(FOLDED)).alias("match")
-    )
-    found = found.filter(F.col("match") != "")
-    return found.select("mail_id", attachment_finding(F.col("match")).alias("f")).select(
+    df = with_folded(mail.select("mail_id", text), text)
+    df = once(df, ["mail_id"], _match=attachment_match(F.col(text), F.col(FOLDED)))
+    df = df.filter(F.col("_match") != "")
+    return df.select("mail_id", attachment_finding(F.col("_match")).alias("f")).select(
         "mail_id", "f.rule", "f.category", "f.message", "f.match"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from baitwatch.functions.text import strip
+from baitwatch.plans.once import once
 from baitwatch.registry import (
     DANGEROUS,
     EMPTY_MAIL,
@@ -21,7 +22,7 @@ def validate_mail(
     mail: DataFrame, max_chars: int = MAX_MAIL_CHARS, text: str = "email_text"
 ) -> DataFrame:
     """Replaces the text by its stripped form and adds ``error``, NULL when it is fine."""
-    df = mail.withColumn(text, F.coalesce(strip(F.col(text)), F.lit("")))
+    df = once(mail, mail.columns, **{text: F.coalesce(strip(F.col(text)), F.lit(""))})
     return df.withColumn("error", (
         F.when(F.col(text) == "", EMPTY_MAIL)
         .when(F.length(text) > max_chars, LONG_MAIL.format(limit=max_chars))
