@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from baitwatch.operators.detect import analyse_mail
 from baitwatch.operators.validate import valid_mail
 from baitwatch.plans.session import work_folder
+from baitwatch.plans.spread import spread
 from baitwatch.registry import CORPORA
 
 AS_OF = "2024-02-01 00:00:00"
@@ -180,7 +181,8 @@ def mail_from(documents: DataFrame, labels: DataFrame, pages: DataFrame) -> Data
 
 
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mail_from(*[table(spark, sf_dir, t) for t in ("documents", "labels", "pages")])
+    documents, labels, pages = (table(spark, sf_dir, t) for t in ("documents", "labels", "pages"))
+    return mail_from(spread(documents, "doc_id"), labels, pages)
 
 
 def raw_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

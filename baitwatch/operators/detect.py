@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from baitwatch.functions.findings import FINDINGS, no_findings, risk_level, score
 from baitwatch.operators.links import (
     brand_mismatch,
+    deceptive_link,
     link_findings,
     mentioned_brand,
     with_links,
@@ -22,8 +23,8 @@ from baitwatch.operators.text_rules import (
     drop_repeats,
     hit_findings,
     rule_fires,
-    with_folded,
     with_text_hits,
+    with_words,
 )
 from baitwatch.plans.once import exploded, once
 from baitwatch.registry import TEXT_CATEGORIES, TEXT_RULES, WEIGHTS
@@ -43,7 +44,8 @@ def with_findings(mail: DataFrame, text: str = "email_text") -> DataFrame:
         Column.__or__, [F.array_contains(F.col("_text.category"), g) for g in _GATES]
     ) & (F.size("_urls") > 0)
     df = df.withColumn("_lower", F.when(wanted, F.lower(F.col(text))))
-    df = df.withColumn("_mismatch", brand_mismatch(mentioned_brand(F.col("_lower")), F.col("_links")))
+    df = df.withColumn("_brand", mentioned_brand(F.col("_lower")))
+    df = df.withColumn("_mismatch", brand_mismatch(F.col("_brand"), F.col("_links")))
     attachment = attachment_finding(F.col("_attachment"))
     findings = F.concat(
         F.col("_text"),
@@ -78,7 +80,7 @@ def score_mail(mail: DataFrame, text: str = "email_text") -> DataFrame:
     copied out of the text. Evaluation and calibration need nothing else.
     """
     keep = mail.columns
-    df = with_folded(mail, text)
+    df = with_words(mail, text)
     t, folded = F.col(text), F.col(FOLDED)
     fired = {
         f"_c_{c}": reduce(
@@ -86,17 +88,20 @@ def score_mail(mail: DataFrame, text: str = "email_text") -> DataFrame:
         )
         for c in TEXT_CATEGORIES
     }
-    df = df.withColumns({**fired, "_c_attachment": attachment_match(t, folded) != ""})
+    df = df.select(
+        *keep, FOLDED, *[c.alias(name) for name, c in fired.items()],
+        (attachment_match(t, folded) != "").alias("_c_attachment"),
+    )
     df = with_links(with_sender(df, text), text)
-    df = df.withColumn("_found", link_findings(t, folded, F.col("_urls"), F.col("_links"))["category"])
     df = df.withColumns({
         "_c_sender": F.size(sender_findings(F.col("_sender"))) > 0,
-        "_own_link": F.array_contains("_found", "link_manipulation"),
+        "_own_link": deceptive_link(t, folded, F.col("_links")),
     })
     gate = F.col("_c_credentials") | F.col("_c_account_threat")
     wanted = gate & (F.size("_urls") > 0) & ~F.col("_own_link")
     df = df.withColumn("_lower", F.when(wanted, F.lower(t)))
-    mismatch = brand_mismatch(mentioned_brand(F.col("_lower")), F.col("_links")).isNotNull()
+    df = df.withColumn("_brand", mentioned_brand(F.col("_lower")))
+    mismatch = brand_mismatch(F.col("_brand"), F.col("_links")).isNotNull()
     df = df.withColumn("_c_link_manipulation", F.col("_own_link") | mismatch)
     total = F.lit(0)
     for key, weight in WEIGHTS.items():

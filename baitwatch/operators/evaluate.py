@@ -6,12 +6,12 @@ sums before any shuffle. The text never leaves the scan stage.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from baitwatch.functions.text import ratio
 from baitwatch.operators.detect import score_mail
-from baitwatch.operators.text_rules import FOLDED, rule_fires, with_folded
+from baitwatch.operators.text_rules import FOLDED, rule_fires, with_words
 from baitwatch.operators.validate import normalize_label, predict
 from baitwatch.registry import (
     DANGEROUS_FROM,
@@ -113,7 +113,7 @@ def rule_hit_rates(
     One pass with two counters a rule; rules that never fire stay in the result.
     Labels have to be exactly ``phishing`` or ``legitimate``; others are left out.
     """
-    df = with_folded(mail, text)
+    df = with_words(mail, text)
     positive, negative = F.col(label) == "phishing", F.col(label) == "legitimate"
     t, folded = F.col(text), F.col(FOLDED)
     df = df.filter(positive | negative).select(
@@ -150,7 +150,8 @@ def source_breakdown(scored: DataFrame, label: str = "label") -> DataFrame:
     by_source = scored.filter(F.col(label) == "phishing").groupBy("source").agg(
         F.count("*").alias("mails"), _caught().alias("caught")
     )
-    total = by_source.agg(F.sum("mails")).scalar()
+    # One row per corpus is left here, so the total over all of them is cheap.
+    total = F.sum("mails").over(Window.partitionBy())
     kind = F.when(F.col("source").isin(*PHISHING_CORPORA), "phishing").otherwise("spam")
     return by_source.select(
         "source", "mails", ratio(F.col("mails"), total).alias("share"), "caught",

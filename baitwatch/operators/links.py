@@ -67,14 +67,15 @@ def _brands() -> Column:
     ])
 
 
+def _alike(b: Column, host: Column, root: Column, plain: Column) -> Column:
+    near = (F.length(b["brand"]) >= 5) & (F.levenshtein(plain, b["brand"], 1) == 1)
+    close = host.contains(b["brand"]) | (plain == b["brand"]) | near
+    return close & ~F.array_contains(b["official"], root)
+
+
 def _brand_spoofs(host: Column, root: Column, plain: Column) -> Column:
     """Messages about brands a host resembles, in registry order."""
 
-    def alike(b: Column) -> Column:
-        near = (F.length(b["brand"]) >= 5) & (F.levenshtein(plain, b["brand"], 1) == 1)
-        close = host.contains(b["brand"]) | (plain == b["brand"]) | near
-        return close & ~F.array_contains(b["official"], root)
-
     def message(b: Column) -> Column:
         return (
             F.when(host.contains(b["brand"]),
@@ -84,7 +85,8 @@ def _brand_spoofs(host: Column, root: Column, plain: Column) -> Column:
             .otherwise(fill(MESSAGES["typo_squat"], root=root, brand=b["title"]))
         )
 
-    return F.transform(F.filter(_brands(), alike), message)
+    alike = F.filter(_brands(), lambda b: _alike(b, host, root, plain))
+    return F.transform(alike, message)
 
 
 def spoof_messages(link: Column) -> Column:
@@ -144,6 +146,23 @@ def link_findings(text: Column, folded: Column, urls: Column, links: Column) ->
     )
 
 
+def deceptive_link(text: Column, folded: Column, links: Column) -> Column:
+    """Whether any scoring link finding exists, without writing its message."""
+
+    def bad(link: Column) -> Column:
+        return (
+            link["root"].isin(*SHORTENERS)
+            | link["tld"].isin(*SUSPICIOUS_TLDS)
+            | U.has_userinfo(link["url"])
+            | U.is_punycode(link["host"])
+            | U.has_confusable(link["name"])
+            | F.exists(_brands(), lambda b: _alike(b, link["host"], link["root"], link["plain"]))
+        )
+
+    raw_ip = folded.contains("http") & text.rlike(U.IP_URL_PATTERN)
+    return raw_ip | F.exists(links, bad)
+
+
 def mentioned_brand(lower: Column) -> Column:
     """First brand named in lower-case text, NULL when there is none."""
     return F.coalesce(*[F.when(lower.contains(b), F.lit(b)) for b in BRAND_DOMAINS])

@@ -8,6 +8,7 @@ several times cheaper than a case-blind pattern.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,17 +33,38 @@ from baitwatch.registry import (
 
 FOLDED = "_folded"
 
+# Words that several rules need first; each is looked up once per mail.
+_SHARED = tuple(
+    word for word, n in Counter(w for r in TEXT_RULES for w in r.needs[0]).items() if n > 1
+)
+
 
 def with_folded(mail: DataFrame, text: str = "email_text") -> DataFrame:
     return mail if FOLDED in mail.columns else mail.withColumn(FOLDED, matching_case(F.col(text)))
 
 
 def rule_pattern(rule: TextRule) -> str:
-    return java_pattern(rule.pattern or phrases_pattern(rule.phrases))
+    """The rule in Java's dialect, tried only where a match can begin."""
+    body = rule.pattern or phrases_pattern(rule.phrases)
+    starts = rule.starts or "".join(dict.fromkeys(p[0] for p in rule.phrases))
+    return java_pattern(f"(?=[{starts}])(?:{body})")
+
+
+def with_words(mail: DataFrame, text: str = "email_text") -> DataFrame:
+    """Adds the folded text and, for each shared word, whether it occurs."""
+    mail = with_folded(mail, text)
+    return mail.withColumns({
+        f"_has_{i}": F.col(FOLDED).contains(word) for i, word in enumerate(_SHARED)
+    })
 
 
 def may_match(rule: TextRule, folded: Column) -> Column:
-    return reduce(Column.__and__, [contains_any(folded, words) for words in rule.needs])
+    """Whether every group of needed words is met, over rows of ``with_words``."""
+    first, *others = rule.needs
+    known = [F.col(f"_has_{_SHARED.index(w)}") for w in first if w in _SHARED]
+    rest = [w for w in first if w not in _SHARED]
+    met = reduce(Column.__or__, known + ([contains_any(folded, rest)] if rest else []))
+    return reduce(Column.__and__, [met] + [contains_any(folded, words) for words in others])
 
 
 def rule_fires(rule: TextRule, text: Column, folded: Column, gated: bool = True) -> Column:
@@ -60,7 +82,8 @@ def with_text_hits(
     mail: DataFrame, rules=TEXT_RULES, text: str = "email_text", gated: bool = True
 ) -> DataFrame:
     """Adds ``_hits``: the rules that fire, as ``(ord, match)`` in registry order."""
-    mail = with_folded(mail, text)
+    kept = mail.columns
+    mail = with_words(mail, text)
     order = {rule.key: i for i, rule in enumerate(TEXT_RULES, start=1)}
     hits = F.array(*[
         F.struct(
@@ -69,7 +92,8 @@ def with_text_hits(
         )
         for rule in rules
     ])
-    return mail.withColumn("_hits", F.filter(hits, lambda h: h["match"] != ""))
+    fired = F.filter(hits, lambda h: h["match"] != "")
+    return mail.select(*dict.fromkeys([*kept, FOLDED]), fired.alias("_hits"))
 
 
 def _rule_facts(ord_: Column) -> Column:
@@ -136,7 +160,7 @@ def deduplicated_text_findings(mail: DataFrame, text: str = "email_text") -> Dat
 def attachment_match(text: Column, folded: Column) -> Column:
     """First file name with a risky ending, ``''`` when there is none."""
     return F.when(
-        contains_any(folded, [f".{e}" for e in RISKY_EXTENSIONS]),
+        folded.rlike(rf"\.(?:{'|'.join(RISKY_EXTENSIONS)})"),
         F.regexp_extract(text, java_pattern(ATTACHMENT_PATTERN), 0),
     ).otherwise(F.lit(""))
 
