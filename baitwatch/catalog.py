@@ -134,7 +134,7 @@ def _streamed_scans(spark: SparkSession, sf: str) -> str:
     documents = spark.readStream.schema(schema).option(
         "pathGlobFilter", "documents.parquet").parquet(sf)
     # A micro-batch has few files; its rows are spread over all cores.
-    documents = documents.repartition(2 * spark.sparkContext.defaultParallelism, "doc_id")
+    documents = documents.repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")
     mail = X.mail_from(documents, X.table(spark, sf, "labels"), X.table(spark, sf, "pages"))
     base = work_folder(spark, "stream")
     stream_scan(

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from baitwatch.functions.text import sql_array
 from baitwatch.operators.detect import analyse_mail
 from baitwatch.operators.validate import valid_mail
 from baitwatch.plans.session import work_folder
@@ -147,7 +148,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pick(values, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
+    if isinstance(values[0], int):
+        items = F.expr(f"array({', '.join(map(str, values))})")
+    else:
+        items = F.expr(sql_array(values))
+    return F.element_at(items, index.cast("int") + 1)
 
 
 def mail_from(documents: DataFrame, labels: DataFrame, pages: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from baitwatch.functions.text import sql_array, sql_text
 from baitwatch.registry import (
     CATEGORIES,
     DANGEROUS,
@@ -41,17 +44,17 @@ def present(*candidates: Column) -> Column:
     return F.filter(F.array(*candidates), lambda f: f.isNotNull())
 
 
-def has_category(categories: Column, key: str) -> Column:
-    return F.array_contains(categories, key)
+def score(fired: Callable[[str], str]) -> Column:
+    """Sum of the weights of the categories for which the SQL of ``fired`` holds."""
+    return F.expr(" + ".join(
+        f"CASE WHEN {fired(key)} THEN {weight} ELSE 0 END"
+        for key, weight in WEIGHTS.items() if weight
+    ))
 
 
-def score(categories: Column) -> Column:
-    """Sum of the weights of the distinct categories in an array."""
-    total = F.lit(0)
-    for key, weight in WEIGHTS.items():
-        if weight:
-            total = total + F.when(has_category(categories, key), weight).otherwise(0)
-    return total
+def score_of(findings: str) -> Column:
+    """Score of an array of findings: each distinct category counts once."""
+    return score(lambda key: f"array_contains({findings}.category, '{key}')")
 
 
 def risk_level(points: Column) -> Column:
@@ -71,9 +74,11 @@ def label_of(category: Column) -> Column:
 
 
 def _lookup(key: Column, values: dict) -> Column:
-    pairs = [F.lit(x) for pair in values.items() for x in pair]
-    return F.element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(
+        f"{sql_text(k)}, {sql_text(v) if isinstance(v, str) else v}" for k, v in values.items()
+    )
+    return F.element_at(F.expr(f"map({pairs})"), key)
 
 
 def known_categories() -> Column:
-    return F.array(*[F.lit(c.key) for c in CATEGORIES])
+    return F.expr(sql_array(c.key for c in CATEGORIES))

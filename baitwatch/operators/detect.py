@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from baitwatch.functions.findings import FINDINGS, no_findings, risk_level, score
+from baitwatch.functions.findings import FINDINGS, no_findings, risk_level, score, score_of
 from baitwatch.operators.links import (
     brand_mismatch,
     deceptive_link,
@@ -27,7 +27,7 @@ from baitwatch.operators.text_rules import (
     with_words,
 )
 from baitwatch.plans.once import exploded, once
-from baitwatch.registry import TEXT_CATEGORIES, TEXT_RULES, WEIGHTS
+from baitwatch.registry import TEXT_CATEGORIES, TEXT_RULES
 
 _GATES = ("credentials", "account_threat")
 
@@ -44,13 +44,13 @@ def with_findings(mail: DataFrame, text: str = "email_text") -> DataFrame:
         Column.__or__, [F.array_contains(F.col("_text.category"), g) for g in _GATES]
     ) & (F.size("_urls") > 0)
     df = df.withColumn("_lower", F.when(wanted, F.lower(F.col(text))))
-    df = df.withColumn("_brand", mentioned_brand(F.col("_lower")))
+    df = df.withColumn("_brand", mentioned_brand("_lower"))
     df = df.withColumn("_mismatch", brand_mismatch(F.col("_brand"), F.col("_links")))
     attachment = attachment_finding(F.col("_attachment"))
     findings = F.concat(
         F.col("_text"),
         F.when(attachment.isNotNull(), F.array(attachment)).otherwise(no_findings()),
-        sender_findings(F.col("_sender")),
+        sender_findings("_sender"),
         link_findings(F.col(text), F.col(FOLDED), F.col("_urls"), F.col("_links")),
         F.when(F.col("_mismatch").isNotNull(), F.array("_mismatch")).otherwise(no_findings()),
     )
@@ -61,7 +61,7 @@ def analyse_mail(mail: DataFrame, text: str = "email_text") -> DataFrame:
     """Adds ``findings, flags, score, risk_level``."""
     df = with_findings(mail, text)
     df = df.withColumns({
-        "flags": F.col("findings.message"), "score": score(F.col("findings.category")),
+        "flags": F.col("findings.message"), "score": score_of("findings"),
     })
     return df.withColumn("risk_level", risk_level(F.col("score")))
 
@@ -82,30 +82,24 @@ def score_mail(mail: DataFrame, text: str = "email_text") -> DataFrame:
     keep = mail.columns
     df = with_words(mail, text)
     t, folded = F.col(text), F.col(FOLDED)
-    fired = {
-        f"_c_{c}": reduce(
-            Column.__or__, [rule_fires(r, t, folded) for r in TEXT_RULES if r.category == c]
-        )
+    fired = [
+        " OR ".join(rule_fires(r, text) for r in TEXT_RULES if r.category == c) + f" AS _c_{c}"
         for c in TEXT_CATEGORIES
-    }
+    ]
     df = df.select(
-        *keep, FOLDED, *[c.alias(name) for name, c in fired.items()],
+        *keep, FOLDED, *[F.expr(e) for e in fired],
         (attachment_match(t, folded) != "").alias("_c_attachment"),
     )
     df = with_links(with_sender(df, text), text)
     df = df.withColumns({
-        "_c_sender": F.size(sender_findings(F.col("_sender"))) > 0,
+        "_c_sender": F.size(sender_findings("_sender")) > 0,
         "_own_link": deceptive_link(t, folded, F.col("_links")),
     })
     gate = F.col("_c_credentials") | F.col("_c_account_threat")
     wanted = gate & (F.size("_urls") > 0) & ~F.col("_own_link")
     df = df.withColumn("_lower", F.when(wanted, F.lower(t)))
-    df = df.withColumn("_brand", mentioned_brand(F.col("_lower")))
+    df = df.withColumn("_brand", mentioned_brand("_lower"))
     mismatch = brand_mismatch(F.col("_brand"), F.col("_links")).isNotNull()
     df = df.withColumn("_c_link_manipulation", F.col("_own_link") | mismatch)
-    total = F.lit(0)
-    for key, weight in WEIGHTS.items():
-        if weight:
-            total = total + F.when(F.col(f"_c_{key}"), weight).otherwise(0)
-    df = once(df, keep, score=total)
+    df = once(df, keep, score=score(lambda key: f"_c_{key}"))
     return df.withColumn("risk_level", risk_level(F.col("score")))

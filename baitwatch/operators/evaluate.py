@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from baitwatch.functions.text import ratio
 from baitwatch.operators.detect import score_mail
-from baitwatch.operators.text_rules import FOLDED, rule_fires, with_words
+from baitwatch.operators.text_rules import rule_fires, with_words
 from baitwatch.operators.validate import normalize_label, predict
 from baitwatch.registry import (
     DANGEROUS_FROM,
@@ -115,27 +115,28 @@ def rule_hit_rates(
     """
     df = with_words(mail, text)
     positive, negative = F.col(label) == "phishing", F.col(label) == "legitimate"
-    t, folded = F.col(text), F.col(FOLDED)
-    df = df.filter(positive | negative).select(
-        label, *[rule_fires(r, t, folded).alias(r.key) for r in TEXT_RULES]
-    )
+    df = df.filter(positive | negative).select(positive.alias("_positive"), *[
+        F.expr(rule_fires(r, text)).alias(r.key) for r in TEXT_RULES
+    ])
+    counted = [f"count_if({r.key} AND _positive) AS p_{r.key}" for r in TEXT_RULES]
+    counted += [f"count_if({r.key} AND NOT _positive) AS n_{r.key}" for r in TEXT_RULES]
     counts = df.agg(
-        F.count_if(positive).alias("_p"), F.count_if(negative).alias("_n"),
-        *[F.count_if(F.col(r.key) & positive).alias(f"p_{r.key}") for r in TEXT_RULES],
-        *[F.count_if(F.col(r.key) & negative).alias(f"n_{r.key}") for r in TEXT_RULES],
+        F.count_if("_positive").alias("_p"), F.count_if(~F.col("_positive")).alias("_n"),
+        *[F.expr(c) for c in counted],
     )
-    rows = F.array(*[
-        F.struct(
-            F.lit(r.key).alias("rule"), F.lit(r.category).alias("category"),
-            F.lit(WEIGHTS[r.category]).alias("weight"),
-            (ratio(F.col(f"p_{r.key}"), F.col("_p")) * 100).alias("phishing_pct"),
-            (ratio(F.col(f"n_{r.key}"), F.col("_n")) * 100).alias("legitimate_pct"),
-        )
+    rows = ", ".join(
+        f"named_struct('rule', '{r.key}', 'category', '{r.category}', "
+        f"'weight', {WEIGHTS[r.category]}, 'p', p_{r.key}, 'n', n_{r.key})"
         for r in TEXT_RULES
-    ])
+    )
     p, n = F.col("phishing_pct"), F.col("legitimate_pct")
     return (
-        counts.select(F.explode(rows).alias("r")).select("r.*")
+        counts.select("_p", "_n", F.expr(f"explode(array({rows}))").alias("r"))
+        .select(
+            "r.rule", "r.category", "r.weight",
+            (ratio(F.col("r.p"), F.col("_p")) * 100).alias("phishing_pct"),
+            (ratio(F.col("r.n"), F.col("_n")) * 100).alias("legitimate_pct"),
+        )
         .withColumn("ratio", F.when(n != 0, p / n).otherwise(F.lit(float("inf"))))
         .orderBy("category", F.desc("phishing_pct"), "rule")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from baitwatch.functions import urls as U
 from baitwatch.functions.findings import finding, no_findings
-from baitwatch.functions.text import fill
+from baitwatch.functions.text import fill, sql_array
 from baitwatch.operators.text_rules import FOLDED, with_folded
 from baitwatch.plans.once import exploded, once
 from baitwatch.registry import BRAND_DOMAINS, MESSAGES, SHORTENERS, SUSPICIOUS_TLDS
@@ -57,14 +57,11 @@ def with_links(mail: DataFrame, text: str = "email_text") -> DataFrame:
 
 
 def _brands() -> Column:
-    return F.array(*[
-        F.struct(
-            F.lit(brand).alias("brand"),
-            F.lit(brand.title()).alias("title"),
-            F.array(*[F.lit(d) for d in domains]).alias("official"),
-        )
-        for brand, domains in BRAND_DOMAINS.items()
-    ])
+    records = ", ".join(
+        f"named_struct('brand', '{b}', 'title', '{b.title()}', 'official', {sql_array(domains)})"
+        for b, domains in BRAND_DOMAINS.items()
+    )
+    return F.expr(f"array({records})")
 
 
 def _alike(b: Column, host: Column, root: Column, plain: Column) -> Column:
@@ -163,16 +160,15 @@ def deceptive_link(text: Column, folded: Column, links: Column) -> Column:
     return raw_ip | F.exists(links, bad)
 
 
-def mentioned_brand(lower: Column) -> Column:
-    """First brand named in lower-case text, NULL when there is none."""
-    return F.coalesce(*[F.when(lower.contains(b), F.lit(b)) for b in BRAND_DOMAINS])
+def mentioned_brand(lower: str) -> Column:
+    """First brand named in a lower-case text column, NULL when there is none."""
+    named = " ".join(f"WHEN contains({lower}, '{b}') THEN '{b}'" for b in BRAND_DOMAINS)
+    return F.expr(f"CASE {named} END")
 
 
 def _official(brand: Column) -> Column:
-    pairs = []
-    for name, domains in BRAND_DOMAINS.items():
-        pairs += [F.lit(name), F.array(*[F.lit(d) for d in domains])]
-    return F.element_at(F.create_map(*pairs), brand)
+    pairs = ", ".join(f"'{b}', {sql_array(domains)}" for b, domains in BRAND_DOMAINS.items())
+    return F.element_at(F.expr(f"map({pairs})"), brand)
 
 
 def brand_mismatch(brand: Column, links: Column) -> Column:

@@ -14,7 +14,7 @@ from baitwatch.functions.mail_headers import (
     header_block,
     header_value,
 )
-from baitwatch.functions.text import contains_any, fill
+from baitwatch.functions.text import any_word, fill, sql_text
 from baitwatch.functions.urls import root_domain
 from baitwatch.plans.once import exploded
 from baitwatch.registry import (
@@ -74,17 +74,20 @@ def with_sender(mail: DataFrame, text: str = "email_text") -> DataFrame:
     return df.drop("_block", "_from", "_reply", "_return", "_parts")
 
 
-def _false_brand(s: Column) -> Column:
+def _false_brand(sender: str) -> Column:
     """First brand the display name claims without sending from its domains."""
-    squeezed = F.replace(F.lower(s["display"]), F.lit(" "), F.lit(""))
-    return F.coalesce(*[
-        F.when(squeezed.contains(brand) & ~s["root"].isin(*domains), F.lit(brand.title()))
+    squeezed = f"replace(lower({sender}.display), ' ', '')"
+    claimed = [
+        f"WHEN contains({squeezed}, '{brand}') AND {sender}.root NOT IN "
+        f"({', '.join(sql_text(d) for d in domains)}) THEN '{brand.title()}'"
         for brand, domains in BRAND_DOMAINS.items()
-    ])
+    ]
+    return F.expr(f"CASE {' '.join(claimed)} END")
 
 
-def sender_findings(s: Column) -> Column:
-    """Findings about a ``_sender`` struct, in reporting order."""
+def sender_findings(sender: str) -> Column:
+    """Findings about a column like ``_sender``, in reporting order."""
+    s = F.col(sender)
     shown_root = root_domain(address_domain(s["shown"]))
     sent = s["root"] != ""
 
@@ -96,7 +99,7 @@ def sender_findings(s: Column) -> Column:
             )),
         )
 
-    brand = _false_brand(s)
+    brand = _false_brand(sender)
     found = present(
         F.when(
             sent & (s["shown"] != "") & (shown_root != "") & (shown_root != s["root"]),
@@ -114,7 +117,7 @@ def sender_findings(s: Column) -> Column:
         other("return_path_mismatch", "Return-Path", s["return_address"], s["return_root"]),
         F.when(
             s["domain"].isin(*WEBMAIL_DOMAINS)
-            & contains_any(F.lower(s["display"]), ORGANISATION_WORDS),
+            & F.expr(any_word(f"lower({sender}.display)", ORGANISATION_WORDS)),
             finding("organisation_from_free_mail", "sender", fill(
                 MESSAGES["organisation_from_free_mail"], display=s["display"],
                 address=s["address"],
@@ -135,5 +138,5 @@ def sender_addresses(mail: DataFrame, text: str = "email_text") -> DataFrame:
 def tag_sender(mail: DataFrame, text: str = "email_text") -> DataFrame:
     """Long table of sender findings."""
     df = with_sender(mail.select("mail_id", text), text)
-    rows = exploded(df, ["mail_id"], sender_findings(F.col("_sender")), "f")
+    rows = exploded(df, ["mail_id"], sender_findings("_sender"), "f")
     return rows.select("mail_id", "f.rule", "f.message")

@@ -9,17 +9,17 @@ several times cheaper than a case-blind pattern.
 from __future__ import annotations
 
 from collections import Counter
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from baitwatch.functions.findings import finding
 from baitwatch.functions.text import (
-    contains_any,
+    any_word,
     java_pattern,
     matching_case,
     phrases_pattern,
+    sql_text,
     strip,
 )
 from baitwatch.plans.once import exploded, once
@@ -52,48 +52,44 @@ def rule_pattern(rule: TextRule) -> str:
 
 def with_words(mail: DataFrame, text: str = "email_text") -> DataFrame:
     """Adds the folded text and, for each shared word, whether it occurs."""
-    mail = with_folded(mail, text)
-    return mail.withColumns({
-        f"_has_{i}": F.col(FOLDED).contains(word) for i, word in enumerate(_SHARED)
-    })
+    found = [f"contains({FOLDED}, {sql_text(w)}) AS _has_{i}" for i, w in enumerate(_SHARED)]
+    return with_folded(mail, text).selectExpr("*", *found)
 
 
-def may_match(rule: TextRule, folded: Column) -> Column:
-    """Whether every group of needed words is met, over rows of ``with_words``."""
+def may_match(rule: TextRule) -> str:
+    """SQL over rows of ``with_words``: whether every group of needed words is met."""
     first, *others = rule.needs
-    known = [F.col(f"_has_{_SHARED.index(w)}") for w in first if w in _SHARED]
+    known = [f"_has_{_SHARED.index(w)}" for w in first if w in _SHARED]
     rest = [w for w in first if w not in _SHARED]
-    met = reduce(Column.__or__, known + ([contains_any(folded, rest)] if rest else []))
-    return reduce(Column.__and__, [met] + [contains_any(folded, words) for words in others])
+    met = " OR ".join(known + ([any_word(FOLDED, rest)] if rest else []))
+    return " AND ".join([f"({met})"] + [any_word(FOLDED, words) for words in others])
 
 
-def rule_fires(rule: TextRule, text: Column, folded: Column, gated: bool = True) -> Column:
-    fires = text.rlike(rule_pattern(rule))
-    return may_match(rule, folded) & fires if gated else fires
+def rule_fires(rule: TextRule, text: str, gated: bool = True) -> str:
+    """SQL over rows of ``with_words``: whether the rule fires."""
+    fires = f"rlike({text}, {sql_text(rule_pattern(rule))})"
+    return f"({may_match(rule)} AND {fires})" if gated else fires
 
 
-def rule_match(rule: TextRule, text: Column, folded: Column, gated: bool = True) -> Column:
-    """First match of the rule, ``''`` when it does not fire."""
-    match = F.regexp_extract(text, rule_pattern(rule), 0)
-    return F.when(may_match(rule, folded), match).otherwise(F.lit("")) if gated else match
+def rule_match(rule: TextRule, text: str, gated: bool = True) -> str:
+    """SQL for the first match of the rule, ``''`` when it does not fire."""
+    match = f"regexp_extract({text}, {sql_text(rule_pattern(rule))}, 0)"
+    return f"CASE WHEN {may_match(rule)} THEN {match} ELSE '' END" if gated else match
 
 
 def with_text_hits(
     mail: DataFrame, rules=TEXT_RULES, text: str = "email_text", gated: bool = True
 ) -> DataFrame:
     """Adds ``_hits``: the rules that fire, as ``(ord, match)`` in registry order."""
-    kept = mail.columns
-    mail = with_words(mail, text)
     order = {rule.key: i for i, rule in enumerate(TEXT_RULES, start=1)}
-    hits = F.array(*[
-        F.struct(
-            F.lit(order[rule.key]).alias("ord"),
-            rule_match(rule, F.col(text), F.col(FOLDED), gated).alias("match"),
-        )
+    hits = ", ".join(
+        f"named_struct('ord', {order[rule.key]}, 'match', {rule_match(rule, text, gated)})"
         for rule in rules
-    ])
-    fired = F.filter(hits, lambda h: h["match"] != "")
-    return mail.select(*dict.fromkeys([*kept, FOLDED]), fired.alias("_hits"))
+    )
+    return with_words(mail, text).selectExpr(
+        *dict.fromkeys([*mail.columns, FOLDED]),
+        f"filter(array({hits}), hit -> hit.match != '') AS _hits",
+    )
 
 
 def _rule_facts(ord_: Column) -> Column:
@@ -101,13 +97,11 @@ def _rule_facts(ord_: Column) -> Column:
     facts = []
     for rule in TEXT_RULES:
         before, _, after = rule.message.partition("{match}")
-        facts.append(F.struct(
-            F.lit(rule.key).alias("rule"),
-            F.lit(rule.category).alias("category"),
-            F.lit(before).alias("before"),
-            F.lit(after).alias("after"),
-        ))
-    return F.element_at(F.array(*facts), ord_)
+        facts.append(
+            f"named_struct('rule', {sql_text(rule.key)}, 'category', {sql_text(rule.category)}, "
+            f"'before', {sql_text(before)}, 'after', {sql_text(after)})"
+        )
+    return F.element_at(F.expr(f"array({', '.join(facts)})"), ord_)
 
 
 def hit_findings(hits: Column) -> Column:

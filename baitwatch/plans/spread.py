@@ -15,4 +15,4 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or df.rdd.getNumPartitions() >= 2 * cores:
         return df
-    return df.repartition(2 * cores, key)
+    return df.repartition(4 * cores, key)
