@@ -34,13 +34,17 @@ def distinct_urls(mail: DataFrame, key: str = "mail_id", text: str = "email_text
     return exploded(mail, [key], urls, "url")
 
 
+def _first_roots(urls: Column, limit: int) -> Column:
+    roots = F.array_distinct(F.transform(urls, lambda u: root_domain(hostname(u))))
+    return F.slice(roots, 1, limit)
+
+
 def capped_domains(
     mail: DataFrame, limit: int = DOMAINS_PER_MAIL, key: str = "mail_id", text: str = "email_text"
 ) -> DataFrame:
     """The first ``limit`` distinct root domains of every mail, ``pos`` from 1."""
-    urls = F.array_distinct(extract_urls(F.col(text)))
-    roots = F.array_distinct(F.transform(urls, lambda u: root_domain(hostname(u))))
-    rows = exploded(mail, [key], F.slice(roots, 1, limit), "domain", "pos")
+    roots = _first_roots(F.array_distinct(extract_urls(F.col(text))), limit)
+    rows = exploded(mail, [key], roots, "domain", "pos")
     return rows.withColumn("pos", F.col("pos") + 1)
 
 
@@ -59,9 +63,8 @@ def threat_hits(
     mail: DataFrame, threat_list: DataFrame, key: str = "mail_id", text: str = "email_text"
 ) -> DataFrame:
     """One row per mail and distinct listed link: ``key, url, threat, ord, message``."""
-    hits = salted_lookup(distinct_urls(mail, key, text), first_threats(threat_list), "url", key)
-    return hits.select(key, "url", "threat", "ord", fill(
-        MESSAGES["safe_browsing"], url=F.col("url"), threat=F.col("threat")).alias("message"))
+    hits = salted_lookup(distinct_urls(mail, key, text), first_threats(threat_list), ["url"], key)
+    return hits.select(key, "url", "threat", "ord", _threat_message().alias("message"))
 
 
 def age_in_days(created: Column, as_of: Column) -> Column:
@@ -82,18 +85,31 @@ def registration_dates(domain_reg: DataFrame) -> DataFrame:
     )
 
 
+def young_domains(domain_reg: DataFrame, as_of: str) -> DataFrame:
+    """Domains registered less than 30 days before ``as_of``, with their age."""
+    age = age_in_days(F.col("created_at"), F.lit(as_of))
+    aged = registration_dates(domain_reg).select("domain", age.alias("age_days"))
+    return aged.filter(F.col("age_days") < NEW_DOMAIN_DAYS)
+
+
+def _threat_message() -> Column:
+    return fill(MESSAGES["safe_browsing"], url=F.col("url"), threat=F.col("threat"))
+
+
+def _new_domain_message() -> Column:
+    return fill(
+        MESSAGES["new_domain"], domain=F.col("domain"), days=F.col("age_days").cast("string")
+    )
+
+
 def new_domain_hits(
     mail: DataFrame, domain_reg: DataFrame, as_of: str, key: str = "mail_id",
     text: str = "email_text",
 ) -> DataFrame:
     """One row per mail and recently registered domain among its first domains."""
-    young = registration_dates(domain_reg).withColumn(
-        "age_days", age_in_days(F.col("created_at"), F.lit(as_of))
-    ).filter(F.col("age_days") < NEW_DOMAIN_DAYS).select("domain", "age_days")
-    hits = salted_lookup(capped_domains(mail, key=key, text=text), young, "domain", key)
-    return hits.select(key, "pos", "domain", "age_days", fill(
-        MESSAGES["new_domain"], domain=F.col("domain"), days=F.col("age_days").cast("string"),
-    ).alias("message"))
+    young = young_domains(domain_reg, as_of)
+    hits = salted_lookup(capped_domains(mail, key=key, text=text), young, ["domain"], key)
+    return hits.select(key, "pos", "domain", "age_days", _new_domain_message().alias("message"))
 
 
 def check_links(
@@ -103,20 +119,31 @@ def check_links(
     """``key, link_findings, points`` for every mail with a hit.
 
     Points count per finding, not per category: threats first, in list order, then
-    new domains in order of appearance.
+    new domains in order of appearance. Links and domains are looked up together, so
+    the text is read once and there is one join.
     """
-    threats = threat_hits(mail, threat_list, key, text).select(
-        key, F.lit(0).alias("kind"), F.col("ord").cast("long").alias("ord"),
+    listed = first_threats(threat_list).select(
+        F.lit(0).alias("kind"), F.col("url").alias("value"), F.col("ord").cast("long"),
         F.lit(THREAT_POINTS).alias("points"),
-        finding("safe_browsing", "link_manipulation", F.col("message")).alias("finding"),
+        finding("safe_browsing", "link_manipulation", _threat_message()).alias("finding"),
+    )
+    young = young_domains(domain_reg, as_of).select(
+        F.lit(1).alias("kind"), F.col("domain").alias("value"),
+        F.lit(None).cast("long").alias("ord"), F.lit(NEW_DOMAIN_POINTS).alias("points"),
+        finding("new_domain", "link_manipulation", _new_domain_message()).alias("finding"),
     )
-    young = new_domain_hits(mail, domain_reg, as_of, key, text).select(
-        key, F.lit(1).alias("kind"), F.col("pos").cast("long").alias("ord"),
-        F.lit(NEW_DOMAIN_POINTS).alias("points"),
-        finding("new_domain", "link_manipulation", F.col("message")).alias("finding"),
+    df = mail.withColumn("_urls", F.array_distinct(extract_urls(F.col(text))))
+    asked = F.concat(
+        F.transform("_urls", lambda u: F.struct(
+            F.lit(0).alias("kind"), u.alias("value"), F.lit(0).alias("pos"))),
+        F.transform(_first_roots(F.col("_urls"), DOMAINS_PER_MAIL), lambda d, i: F.struct(
+            F.lit(1).alias("kind"), d.alias("value"), i.alias("pos"))),
     )
+    rows = exploded(df, [key], asked, "q").select(key, "q.*")
+    hits = salted_lookup(rows, listed.unionByName(young), ["kind", "value"], key)
+    hits = hits.withColumn("ord", F.coalesce("ord", F.col("pos").cast("long")))
     ordered = F.array_sort(F.collect_list(F.struct("kind", "ord", "finding")))
-    return threats.unionByName(young).groupBy(key).agg(
+    return hits.groupBy(key).agg(
         ordered["finding"].cast(FINDINGS).alias("link_findings"),
         F.sum("points").cast("int").alias("points"),
     )

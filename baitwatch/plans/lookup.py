@@ -9,9 +9,9 @@ SALTS = 16
 
 
 def salted_lookup(
-    facts: DataFrame, side: DataFrame, key: str, spread_by: str, salts: int = SALTS
+    facts: DataFrame, side: DataFrame, keys: list[str], spread_by: str, salts: int = SALTS
 ) -> DataFrame:
-    """Inner join of many ``facts`` with a side table that is unique by ``key``.
+    """Inner join of many ``facts`` with a side table that is unique by ``keys``.
 
     One link can appear in a third of all mail. The rows of a key are spread over
     ``salts`` tasks by a hash of ``spread_by`` and the side table is repeated that
@@ -21,4 +21,4 @@ def salted_lookup(
     """
     spread = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     repeated = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, [key, "_salt"]).drop("_salt")
+    return spread.join(repeated, [*keys, "_salt"]).drop("_salt")
