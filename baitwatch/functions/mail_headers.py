@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from baitwatch.functions.text import INLINE_SPACE, LINE_END, SPACE, SPACES, java_pattern, strip
+from baitwatch.functions.text import INLINE_SPACE, LINE_END, SPACES, java_pattern, strip
 from baitwatch.registry import HEADER_NAMES
 
 _LINE_START = rf"(?:\A|(?<=[{LINE_END}])(?!(?<=\r)\n))"
@@ -20,10 +20,10 @@ def _header_line(names) -> str:
 _AFTER_BLOCK = rf"(?isu){_LINE_START}(?!{_header_line(HEADER_NAMES)}[^{LINE_END}]).*\z"
 
 # An address can only begin where a run of its characters begins, which keeps the
-# search linear on long runs without an ``@``.
+# search linear on long runs without an ``@``. Its labels are taken without going back
+# (nothing follows them), so a very long domain needs no deep stack.
 ADDRESS_PATTERN = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
-_ADDRESS = r"(?<![\p{L}\p{N}_.+-])" + java_pattern(ADDRESS_PATTERN).removeprefix("(?iu)")
-_NAMED = rf"(?s)^(.*?)<([^>]*)>[{SPACE}]*\z"
+_ADDRESS = r"(?<![\p{L}\p{N}_.+-])" + java_pattern(ADDRESS_PATTERN, flags="") + "+"
 
 
 def header_block(text: Column) -> Column:
@@ -42,15 +42,30 @@ def find_address(text: Column) -> Column:
     return F.regexp_extract(text, _ADDRESS, 0)
 
 
+def _last_brackets(value: Column) -> tuple[Column, Column]:
+    """For ``name <address>``: what follows the last but one ``>``, and where ``<`` is in it.
+
+    Plain string functions instead of a pattern, which would try every ``<`` of a line
+    full of them.
+    """
+    inner = F.substring_index(F.substr(value, F.lit(1), F.length(value) - 1), ">", -1)
+    return inner, F.when(value.endswith(">"), F.instr(inner, "<")).otherwise(0)
+
+
 def display_name(value: Column) -> Column:
     """Name in front of ``<address>``, without quotes; ``''`` for a bare address."""
-    return strip(F.btrim(strip(F.regexp_extract(strip(value), _NAMED, 1)), F.lit('"')))
+    value = strip(value)
+    inner, opening = _last_brackets(value)
+    before = F.substr(value, F.lit(1), F.length(value) - F.length(inner) + opening - 2)
+    name = F.when(opening > 0, before).when(value.isNotNull(), F.lit(""))
+    return strip(F.btrim(strip(name), F.lit('"')))
 
 
 def address(value: Column) -> Column:
     """Lower-case address of a header value, ``''`` when there is none."""
     value = strip(value)
-    part = F.when(value.rlike(_NAMED), strip(F.regexp_extract(value, _NAMED, 2))).otherwise(value)
+    inner, opening = _last_brackets(value)
+    part = F.when(opening > 0, strip(F.substr(inner, opening + 1))).otherwise(value)
     return F.lower(find_address(part))
 
 

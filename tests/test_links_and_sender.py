@@ -115,7 +115,10 @@ def test_split_address(spark):
     cases = {"Alice <Alice@Example.com>": ("Alice", "alice@example.com"),
              "a@b.org": ("", "a@b.org"), '"Support Team" <s@e.com>': ("Support Team", "s@e.com"),
              "x <y> z <q@r.st>": ("x <y> z", "q@r.st"), "none": ("", ""),
-             "a" * 50000: ("", ""), "Bob <not an address>": ("Bob", "")}
+             "<" * 60000: ("", ""), "<a@b.c> x": ("", "a@b.c"), "> < a@B.c >": (">", "a@b.c"),
+             "<x<y@z.w>": ("", "y@z.w"), "Ünï 😀 <ü@ex.org>": ("Ünï 😀", "ü@ex.org"), ">": ("", ""),
+             "a <> <>": ("a <>", ""),
+             "a" * 50000: ("", ""), "x@y" + ".a.bc" * 30000: ("", "x@y" + ".a.bc" * 30000), "Bob <not an address>": ("Bob", "")}
     df = spark.createDataFrame([(v,) for v in cases], "v string")
     rows = df.select("v", display_name(F.col("v")).alias("d"), address(F.col("v")).alias("a"))
     assert {r.v: (r.d, r.a) for r in rows.collect()} == cases
