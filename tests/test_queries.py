@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from baitwatch import catalog, oracle
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("documents", "labels", "pages", "events", "conversations")
@@ -22,15 +23,16 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(oracle.queries())
+    assert set(catalog.queries()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_sql(spark, duck, name):
-    df = entry.queries()[name](spark, SF)
+    df = catalog.queries()[name](spark, SF)
     columns = sorted(df.columns)
     got = Counter(tuple(r) for r in df.select(*columns).collect())
-    sql = duck.sql(entry.oracle_sql()[name])
+    sql = duck.sql(oracle.queries()[name])
     assert sorted(sql.columns) == columns
     expected = Counter(sql.select(*[f'"{c}"' for c in columns]).fetchall())
     assert got == expected and expected
