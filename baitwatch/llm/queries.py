@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from baitwatch.llm import warc_archive
 from baitwatch.llm.language_id import op8_language_id
 from baitwatch.llm.packing import op6_packing
+from baitwatch.llm.sharding import op2_sharding
+from baitwatch.llm.simhash import op5_simhash
 from baitwatch.llm.token_counts import op1_token_counts
+from baitwatch.llm.warc_archive import op7_warc_archive
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op6_packing, op8_language_id)
+    found = (op1_token_counts, op2_sharding, op5_simhash, op6_packing, op7_warc_archive,
+             op8_language_id)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc_archive": warc_archive.ORACLE_SQL}
