@@ -60,9 +60,10 @@ class ByteBpe:
         if any(token in text for token in self.special):
             return _packed(self.exact.encode(text, add_special_tokens=False).ids)
         words = _words(text)
-        new = set(words) - self.words.keys()
+        distinct = set(words)
+        new = [w for w in distinct if w not in self.words]
         if len(self.words) + len(new) > self.max_words:
-            self.words, new = {}, set(words)
+            self.words, new = {}, distinct
         for word in new:
             self.words[word] = _packed(self.fast.encode_ordinary(word))
         return b"".join(map(self.words.__getitem__, words))
