@@ -84,7 +84,7 @@ class UnigramTrie:
     def add(self, tokens: Iterable[str]) -> None:
         """Scores the pre-tokens that have no terminal count yet."""
         tokens = set(tokens)
-        new = sorted(tokens - self.terminals.keys())
+        new = sorted(t for t in tokens if t not in self.terminals)
         if len(self.terminals) + len(new) > self.max_terminals:
             self.terminals = {}
             new = sorted(tokens)
