@@ -6,20 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from baitwatch.llm import warc_archive
+from baitwatch.llm import url_filter, warc_archive
+from baitwatch.llm.decontamination import op9_decontamination
 from baitwatch.llm.language_id import op8_language_id
 from baitwatch.llm.packing import op6_packing
 from baitwatch.llm.sharding import op2_sharding
 from baitwatch.llm.simhash import op5_simhash
 from baitwatch.llm.token_counts import op1_token_counts
+from baitwatch.llm.toxicity import op4_toxicity
+from baitwatch.llm.url_filter import op10_url_filter
 from baitwatch.llm.warc_archive import op7_warc_archive
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_sharding, op5_simhash, op6_packing, op7_warc_archive,
-             op8_language_id)
+    found = (op1_token_counts, op2_sharding, op4_toxicity, op5_simhash, op6_packing,
+             op7_warc_archive, op8_language_id, op9_decontamination, op10_url_filter)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc_archive": warc_archive.ORACLE_SQL}
+    return {"op7_warc_archive": warc_archive.ORACLE_SQL, "op10_url_filter": url_filter.ORACLE_SQL}

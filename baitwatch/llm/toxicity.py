@@ -40,7 +40,7 @@ KEEP = 0.95
 PURITY = 0.9
 MAX_TERMS = 2_000
 #: What a toxic text counts for a term after each stronger term in it, and the least sum.
-EXPLAINED, LEAST_LEFT = 0.4, 1.5
+EXPLAINED, LEAST_LEFT = 0.4, 2.0
 #: Shorter terms are matched exactly, longer ones with one error, the longest with two.
 ONE_ERROR, TWO_ERRORS = 4, 8
 #: Characters on either side of a match that are looked at.
