@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from baitwatch.llm import url_filter, warc_archive
 from baitwatch.llm.decontamination import op9_decontamination
 from baitwatch.llm.language_id import op8_language_id
 from baitwatch.llm.packing import op6_packing
+from baitwatch.llm.quality_rules import op3_quality_rules
 from baitwatch.llm.sharding import op2_sharding
 from baitwatch.llm.simhash import op5_simhash
 from baitwatch.llm.token_counts import op1_token_counts
@@ -19,9 +22,9 @@ from baitwatch.llm.warc_archive import op7_warc_archive
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_sharding, op4_toxicity, op5_simhash, op6_packing,
-             op7_warc_archive, op8_language_id, op9_decontamination, op10_url_filter)
-    return {f.__name__: f for f in found}
+    found = (op1_token_counts, op2_sharding, op3_quality_rules, op4_toxicity, op5_simhash,
+             op6_packing, op7_warc_archive, op8_language_id, op9_decontamination, op10_url_filter)
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
