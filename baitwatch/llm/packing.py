@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 import zlib
+from array import array
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ END = 0
 #: Pieces of a group on average; a hash deals them out, so groups differ little.
 GROUP_PIECES = 2048
 #: Ids of words kept between texts; above that they are dropped and found anew.
-MAX_WORDS = 300_000
+MAX_WORDS = 600_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECE}, sequence_id long, offset long"
 _INNER_BLANK = re.compile(r"(?<=\S) (?=\S)")
@@ -70,13 +71,18 @@ class ByteBpe:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    own = array("I", ids)
+    if sys.byteorder == "big":
+        own.byteswap()
+    return own.tobytes()
 
 
 def _words(text: str) -> list[str]:
     """The text cut before each blank that stands between characters other than white space."""
-    first, *rest = _INNER_BLANK.split(text)
-    return [first, *(" " + word for word in rest)]
+    words = text.split()
+    single = len(words) - 1 + sum(map(len, words)) == len(text)
+    first, *rest = text.split(" ") if single else _INNER_BLANK.split(text)
+    return [first, *[" " + word for word in rest]]
 
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SEQUENCE,
