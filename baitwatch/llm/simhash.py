@@ -1,6 +1,7 @@
 """Near-duplicates by SimHash, joined on a grid of segment bit counts.
 
-A fingerprint is mapped to the bit counts of its segments. Two fingerprints never differ in
+A fingerprint is mapped to the bit counts of its segments, 32 of two bits each: with wider ones
+unlike fingerprints would share cells, in numbers that grow with the square of the table. Two fingerprints never differ in
 fewer bits than the Manhattan distance of their counts, and two points of a grid within
 distance two have a point between them that is at most one step from either. So all points
 put themselves into the cells around them, and fingerprints that share no cell are no
@@ -23,7 +24,6 @@ from baitwatch.llm.components import components
 SHINGLE = 3
 SEED = 42
 BITS = 64
-SEGMENT_BITS = 4
 #: Hashes whose bits are counted at a time.
 _BLOCK = 255 * 32
 
@@ -66,21 +66,21 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def _counts(fp: Column) -> Column:
-    """Bit counts of the 16 segments of four bits, each in its own four bits."""
-    ones = F.lit(0x1111111111111111)
-    total = fp.bitwiseAND(ones)
-    for i in range(1, SEGMENT_BITS):
-        total = total + F.shiftrightunsigned(fp, i).bitwiseAND(ones)
-    return total
+    """Bit counts of the 32 segments of two bits, each in its own two bits."""
+    high = F.shiftrightunsigned(fp, 1)
+    lows = F.lit(0x5555555555555555)
+    both, either = fp.bitwiseAND(high).bitwiseAND(lows), fp.bitwiseXOR(high).bitwiseAND(lows)
+    return F.shiftleft(both, 1).bitwiseOR(either)
 
 
 def _cells(counts: Column) -> Column:
-    """The point and those one step away in which all counts are possible."""
+    """The point and those one step away: a count moves between 0 and 1 or between 1 and 2."""
     cells = [counts]
-    for i in range(0, BITS, SEGMENT_BITS):
-        own = F.shiftright(counts, i).bitwiseAND(F.lit(15))
-        cells.append(F.when(own < SEGMENT_BITS, counts + F.lit(1 << i)))
-        cells.append(F.when(own > 0, counts - F.lit(1 << i)))
+    for i in range(0, BITS, 2):
+        own = F.shiftrightunsigned(counts, i).bitwiseAND(F.lit(3))
+        upper = 3 << i if i < BITS - 2 else -(1 << i)
+        cells.append(F.when(own < 2, counts.bitwiseXOR(F.lit(1 << i))))
+        cells.append(F.when(own > 0, counts.bitwiseXOR(F.lit(upper))))
     return F.explode(F.array_compact(F.array(*cells)))
 
 
