@@ -14,9 +14,9 @@ from baitwatch import fixture as X
 from baitwatch.functions.text import minute
 from baitwatch.operators import corpus, enrich, evaluate, history, links, scans, sender, text_rules
 from baitwatch.operators.detect import analyse_mail, long_findings, score_mail
-from baitwatch.operators.validate import normalize_label, validate_mail
+from baitwatch.operators.validate import normalize_label, quarantined_mail, validate_mail
 from baitwatch.plans.session import work_folder
-from baitwatch.registry import TEXT_CATEGORIES, TEXT_RULES
+from baitwatch.registry import MAX_MAIL_CHARS, TEXT_CATEGORIES, TEXT_RULES
 from baitwatch.sources.datasets import read_labelled, write_labelled
 from baitwatch.sources.exports import flat_export, nested_export
 from baitwatch.streaming.scan_stream import stream_link_check, stream_scan
@@ -109,7 +109,7 @@ def _merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _evolve(spark: SparkSession, sf: str) -> DataFrame:
-    older = X.old_scans(spark, sf).drop("findings", "network_checked", "email_text")
+    older = X.old_scans(spark, sf).drop("findings", "network_checked")
     return scans.evolve_schema(older)
 
 
@@ -134,7 +134,8 @@ def _streamed_scans(spark: SparkSession, sf: str) -> str:
     documents = spark.readStream.schema(schema).option(
         "pathGlobFilter", "documents.parquet").parquet(sf)
     # A micro-batch has few files; its rows are spread over all cores.
-    documents = documents.repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    documents = documents.repartition(partitions, "doc_id")
     mail = X.mail_from(documents, X.table(spark, sf, "labels"), X.table(spark, sf, "pages"))
     base = work_folder(spark, "stream")
     stream_scan(
@@ -182,12 +183,12 @@ def queries() -> dict[str, Query]:
             "mail_id", joined("categories", ",").alias("categories"))),
         "grouped_findings": _on_mail(lambda m: history.grouped_findings(analyse_mail(m)).withColumn(
             "messages", joined("messages", "\n"))),
-        "category_listing": _on_mail(lambda m: history.category_listing(analyse_mail(m)).drop(
-            "advice")),
+        "category_listing": _on_mail(lambda m: history.category_listing(analyse_mail(m))),
         "normalize_label": _on_mail(lambda m: m.select(
             "mail_id", "raw_label", normalize_label(F.col("raw_label")).alias("label"))),
-        "confusion_matrix": _on_mail(lambda m: evaluate.confusion_matrix(_labelled(m)).drop(
-            "risk_levels")),
+        "confusion_matrix": _on_mail(lambda m: evaluate.confusion_matrix(_labelled(m)).withColumn(
+            "risk_levels", joined(F.transform(F.map_entries("risk_levels"), lambda e: F.concat_ws(
+                "=", e["key"], e["value"])), ","))),
         "risk_distribution": _on_mail(lambda m: evaluate.risk_distribution(_labelled(m))),
         "threshold_sweep": _on_mail(lambda m: evaluate.threshold_sweep(_labelled(m))),
         "compose_mail": _on_corpus(corpus.compose_mail),
@@ -203,6 +204,8 @@ def queries() -> dict[str, Query]:
         "kind_recall": _kinds,
         "validate_mail": _on_mail(lambda m: validate_mail(m).select(
             "mail_id", F.length("email_text").alias("chars"), "error")),
+        "quarantined_mail": _on_mail(lambda m: quarantined_mail(m, MAX_MAIL_CHARS).select(
+            "mail_id", F.length("email_text").alias("chars"), "error")),
         "history_search": _on_scans(lambda s: _flat(history.search_scans(s, " paypal%LOGIN "))),
         "history_risk": _on_scans(lambda s: _flat(history.filter_risk(s, "Suspicious"))),
         "scan_detail": _on_scans(lambda s: _flat(history.scan_by_id(s, 42))),

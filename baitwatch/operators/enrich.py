@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from baitwatch.functions.findings import FINDINGS, finding
 from baitwatch.functions.text import fill
-from baitwatch.functions.urls import extract_urls, hostname, root_domain
+from baitwatch.functions.urls import URL_PATTERN, extract_urls, hostname, root_domain
 from baitwatch.plans.lookup import salted_lookup
 from baitwatch.plans.once import exploded
 from baitwatch.registry import (
@@ -26,7 +26,7 @@ from baitwatch.registry import (
 
 def link_check_queue(scans: DataFrame, text: str = "email_text") -> DataFrame:
     """Scans that have a link and were not checked yet."""
-    return scans.filter(~F.col("network_checked") & (F.size(extract_urls(F.col(text))) > 0))
+    return scans.filter(~F.col("network_checked") & F.col(text).rlike(URL_PATTERN))
 
 
 def distinct_urls(mail: DataFrame, key: str = "mail_id", text: str = "email_text") -> DataFrame:
@@ -34,15 +34,15 @@ def distinct_urls(mail: DataFrame, key: str = "mail_id", text: str = "email_text
     return exploded(mail, [key], urls, "url")
 
 
-def _first_roots(urls: Column, limit: int) -> Column:
+def _first_roots(urls: Column, limit: int | None) -> Column:
     roots = F.array_distinct(F.transform(urls, lambda u: root_domain(hostname(u))))
-    return F.slice(roots, 1, limit)
+    return roots if limit is None else F.slice(roots, 1, limit)
 
 
 def capped_domains(
-    mail: DataFrame, limit: int = DOMAINS_PER_MAIL, key: str = "mail_id", text: str = "email_text"
+    mail: DataFrame, limit: int | None = DOMAINS_PER_MAIL, key: str = "mail_id", text: str = "email_text"
 ) -> DataFrame:
-    """The first ``limit`` distinct root domains of every mail, ``pos`` from 1."""
+    """The first ``limit`` distinct root domains of every mail, or all; ``pos`` from 1."""
     roots = _first_roots(F.array_distinct(extract_urls(F.col(text))), limit)
     rows = exploded(mail, [key], roots, "domain", "pos")
     return rows.withColumn("pos", F.col("pos") + 1)
@@ -104,17 +104,18 @@ def _new_domain_message() -> Column:
 
 def new_domain_hits(
     mail: DataFrame, domain_reg: DataFrame, as_of: str, key: str = "mail_id",
-    text: str = "email_text",
+    text: str = "email_text", domains_per_mail: int | None = None,
 ) -> DataFrame:
-    """One row per mail and recently registered domain among its first domains."""
+    """One row per mail and recently registered domain among its domains."""
     young = young_domains(domain_reg, as_of)
-    hits = salted_lookup(capped_domains(mail, key=key, text=text), young, ["domain"], key)
+    domains = capped_domains(mail, domains_per_mail, key, text)
+    hits = salted_lookup(domains, young, ["domain"], key)
     return hits.select(key, "pos", "domain", "age_days", _new_domain_message().alias("message"))
 
 
 def check_links(
     mail: DataFrame, threat_list: DataFrame, domain_reg: DataFrame, as_of: str,
-    key: str = "mail_id", text: str = "email_text",
+    key: str = "mail_id", text: str = "email_text", domains_per_mail: int | None = None,
 ) -> DataFrame:
     """``key, link_findings, points`` for every mail with a hit.
 
@@ -136,7 +137,7 @@ def check_links(
     asked = F.concat(
         F.transform("_urls", lambda u: F.struct(
             F.lit(0).alias("kind"), u.alias("value"), F.lit(0).alias("pos"))),
-        F.transform(_first_roots(F.col("_urls"), DOMAINS_PER_MAIL), lambda d, i: F.struct(
+        F.transform(_first_roots(F.col("_urls"), domains_per_mail), lambda d, i: F.struct(
             F.lit(1).alias("kind"), d.alias("value"), i.alias("pos"))),
     )
     rows = exploded(df, [key], asked, "q").select(key, "q.*")

@@ -7,7 +7,7 @@ changes to one id are reduced to one row before the join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from baitwatch.functions.findings import FINDINGS, finding, known_categories, risk_level
@@ -22,46 +22,58 @@ SCAN_COLUMNS = (
 )
 
 
-def new_scans(mail: DataFrame, received_at) -> DataFrame:
-    """Valid mail scored as scan rows; ``mail_id`` becomes the id."""
-    scored = analyse_mail(valid_mail(mail))
+FEED_SPAN = 1 << 40
+
+
+def scan_id(mail_id: str, feed: int) -> Column:
+    """Id of a scan from its feed and its mail's number there, which is below ``FEED_SPAN``.
+
+    Batch and stream use the same rule, so the order and number of runs never change an
+    id, and feeds with numbers of their own never collide.
+    """
+    return F.col(mail_id) + F.lit(1 + feed * FEED_SPAN)
+
+
+def new_scans(
+    mail: DataFrame, received_at, feed: int = 1, max_chars: int | None = None
+) -> DataFrame:
+    """Valid mail of a feed scored as scan rows. ``quarantined_mail`` has the rest."""
+    scored = analyse_mail(valid_mail(mail, max_chars))
     return scored.select(
-        F.col("mail_id").alias("id"), "email_text", "flags", "findings", "score", "risk_level",
+        scan_id("mail_id", feed).alias("id"), "email_text", "flags", "findings", "score", "risk_level",
         F.lit("").alias("note"),
         F.date_trunc("minute", received_at).cast("timestamp_ntz").alias("created_at"),
         F.lit(False).alias("network_checked"),
     )
 
 
-def append_scans(scans: DataFrame, mail: DataFrame, received_at) -> DataFrame:
-    """The table with new mail appended; invalid mail is never stored.
-
-    New ids continue after the highest one in submission order. They follow from the
-    mail's own number, so no global numbering is needed and a repeated run assigns
-    the same ids.
-    """
-    highest = scans.select(F.max("id")).scalar()
-    added = new_scans(mail, received_at)
-    added = added.withColumn("id", F.coalesce(highest, F.lit(0)) + 1 + F.col("id"))
-    return scans.select(*SCAN_COLUMNS).unionByName(added)
+def append_scans(
+    scans: DataFrame, mail: DataFrame, received_at, feed: int = 1, max_chars: int | None = None
+) -> DataFrame:
+    """The table with new mail of a feed appended; blank mail is never stored, and longer
+    mail than ``max_chars`` only if no limit is set."""
+    return scans.select(*SCAN_COLUMNS).unionByName(new_scans(mail, received_at, feed, max_chars))
 
 
 def merge_link_findings(scans: DataFrame, checks: DataFrame) -> DataFrame:
     """Adds link findings and points to scans that were not checked before.
 
     ``checks(id, link_findings, points)`` only needs rows for scans with a hit. Every
-    unchecked scan counts as checked afterwards, so a second merge changes nothing.
+    unchecked scan counts as checked afterwards, so a second merge changes nothing. Flags
+    of a row that an older release stored without findings are kept, as findings too.
     """
     df = scans.join(checks.select("id", "link_findings", "points"), "id", "left")
     fresh = ~F.col("network_checked")
     hit = fresh & F.col("points").isNotNull()
+    legacy = F.transform("flags", lambda s: finding("legacy", "informational", s))
+    known = F.when(F.size("findings") > 0, F.col("findings")).otherwise(legacy.cast(FINDINGS))
+    messages = F.col("link_findings.message")
     df = df.withColumns({
-        "findings": F.when(hit, F.concat("findings", "link_findings"))
-        .otherwise(F.col("findings")),
+        "flags": F.when(hit, F.concat("flags", messages)).otherwise(F.col("flags")),
+        "findings": F.when(hit, F.concat(known, "link_findings")).otherwise(F.col("findings")),
         "score": F.when(hit, F.col("score") + F.col("points")).otherwise(F.col("score")),
     })
     return df.withColumns({
-        "flags": F.when(fresh, F.col("findings.message")).otherwise(F.col("flags")),
         "risk_level": F.when(fresh, risk_level(F.col("score"))).otherwise(F.col("risk_level")),
         "network_checked": F.lit(True),
     }).select(*SCAN_COLUMNS)

@@ -19,25 +19,29 @@ from baitwatch.registry import (
 
 
 def validate_mail(
-    mail: DataFrame, max_chars: int = MAX_MAIL_CHARS, text: str = "email_text"
+    mail: DataFrame, max_chars: int | None = MAX_MAIL_CHARS, text: str = "email_text"
 ) -> DataFrame:
-    """Replaces the text by its stripped form and adds ``error``, NULL when it is fine."""
+    """Replaces the text by its stripped form and adds ``error``, NULL when it is fine.
+
+    Without ``max_chars`` only blank mail is an error.
+    """
     df = once(mail, mail.columns, **{text: F.coalesce(strip(F.col(text)), F.lit(""))})
-    return df.withColumn("error", (
-        F.when(F.col(text) == "", EMPTY_MAIL)
-        .when(F.length(text) > max_chars, LONG_MAIL.format(limit=max_chars))
-    ))
+    error = F.when(F.col(text) == "", EMPTY_MAIL)
+    if max_chars is not None:
+        error = error.when(F.length(text) > max_chars, LONG_MAIL.format(limit=max_chars))
+    return df.withColumn("error", error)
 
 
 def valid_mail(
-    mail: DataFrame, max_chars: int = MAX_MAIL_CHARS, text: str = "email_text"
+    mail: DataFrame, max_chars: int | None = None, text: str = "email_text"
 ) -> DataFrame:
     return validate_mail(mail, max_chars, text).filter(F.col("error").isNull()).drop("error")
 
 
 def quarantined_mail(
-    mail: DataFrame, max_chars: int = MAX_MAIL_CHARS, text: str = "email_text"
+    mail: DataFrame, max_chars: int | None = None, text: str = "email_text"
 ) -> DataFrame:
+    """What ``valid_mail`` leaves out under the same limit, with the reason in ``error``."""
     return validate_mail(mail, max_chars, text).filter(F.col("error").isNotNull())
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from baitwatch import fixture as X
 from baitwatch import registry as R
+from baitwatch.operators.scans import FEED_SPAN
 
 
 def q(value) -> str:
@@ -90,7 +91,7 @@ focused AS (
 
 VALID = MAIL + f""",
 checked AS (SELECT mail_id, coalesce({strip('email_text')}, '') AS email_text FROM mail),
-valid AS (SELECT * FROM checked WHERE email_text <> '' AND length(email_text) <= {R.MAX_MAIL_CHARS})"""
+valid AS (SELECT * FROM checked WHERE email_text <> '')"""
 
 THREATS = f"""
 threat_list AS (
@@ -357,17 +358,16 @@ threat_hits AS (
   SELECT DISTINCT mail_id, url, threat, ord, {fill(
       R.MESSAGES['safe_browsing'], url='url', threat='threat')} AS message
   FROM (SELECT mail_id, url FROM url_facts) JOIN threats USING (url)),
-capped AS (
+domains AS (
   SELECT mail_id, domain, row_number() OVER (PARTITION BY mail_id ORDER BY p)::INT AS pos
-  FROM (SELECT mail_id, root AS domain, min(pos) AS p FROM url_facts GROUP BY ALL)
-  QUALIFY pos <= {R.DOMAINS_PER_MAIL}),
+  FROM (SELECT mail_id, root AS domain, min(pos) AS p FROM url_facts GROUP BY ALL)),
 aged AS (
   SELECT domain, floor((epoch_us(TIMESTAMP '{X.AS_OF}') - epoch_us(created_at)) / 86400000000.0)::INT
     AS age_days FROM domain_reg WHERE created_at IS NOT NULL),
 new_domains AS (
   SELECT mail_id, pos, domain, age_days, {fill(
       R.MESSAGES['new_domain'], domain='domain', days='age_days::VARCHAR')} AS message
-  FROM capped JOIN aged USING (domain) WHERE age_days < {R.NEW_DOMAIN_DAYS}),
+  FROM domains JOIN aged USING (domain) WHERE age_days < {R.NEW_DOMAIN_DAYS}),
 link_checks AS (
   SELECT mail_id, string_agg(message, chr(10) ORDER BY kind, ord) AS messages,
     sum(points)::INT AS points
@@ -435,8 +435,9 @@ def queries() -> dict[str, str]:
         "weight, string_agg(message, chr(10) ORDER BY ord) AS messages FROM findings "
         "JOIN category USING (category) GROUP BY ALL)")
     out["category_listing"] = full + (
-        "SELECT c.category, label, weight::INT AS weight, count(DISTINCT mail_id) AS mails "
-        "FROM category c LEFT JOIN findings f ON f.category = c.category WHERE weight > 0 "
+        "SELECT c.category, label, weight::INT AS weight, advice, count(DISTINCT mail_id) AS mails "
+        f"FROM category c JOIN (VALUES {values((q(c.key), q(c.advice)) for c in R.CATEGORIES)}) "
+        "a(category, advice) USING (category) LEFT JOIN findings f ON f.category = c.category WHERE weight > 0 "
         "GROUP BY ALL ORDER BY weight DESC, label")
 
     # evaluation
@@ -453,7 +454,11 @@ r AS (SELECT *, true_positive + false_negative AS actual_phishing,
     false_positive + true_negative AS actual_legitimate, true_positive + true_negative AS correct,
     {ratio('true_positive', 'true_positive + false_positive')} AS "precision",
     {ratio('true_positive', 'true_positive + false_negative')} AS recall FROM c)
-SELECT *, actual_phishing + actual_legitimate AS total,
+SELECT *, array_to_string(list_filter([
+    (SELECT 'Safe=' || count(*) FROM e WHERE risk_level = 'Safe' HAVING count(*) > 0),
+    (SELECT 'Suspicious=' || count(*) FROM e WHERE risk_level = 'Suspicious' HAVING count(*) > 0),
+    (SELECT 'Dangerous=' || count(*) FROM e WHERE risk_level = 'Dangerous' HAVING count(*) > 0)],
+    lambda x: x IS NOT NULL), ',') AS risk_levels, actual_phishing + actual_legitimate AS total,
   {ratio('correct', 'actual_phishing + actual_legitimate')} AS accuracy,
   {ratio('false_positive', 'actual_legitimate')} AS false_positive_rate,
   {ratio('false_negative', 'actual_phishing')} AS false_negative_rate,
@@ -522,6 +527,10 @@ SELECT *, CASE WHEN legitimate_pct = 0 THEN 'Infinity'::DOUBLE
         f"SELECT mail_id, length(email_text)::INT AS chars, CASE WHEN email_text = '' THEN "
         f"{q(R.EMPTY_MAIL)} WHEN length(email_text) > {R.MAX_MAIL_CHARS} THEN "
         f"{q(R.LONG_MAIL.format(limit=R.MAX_MAIL_CHARS))} END AS error FROM checked")
+    out["quarantined_mail"] = with_(VALID) + (
+        f"SELECT mail_id, length(email_text)::INT AS chars, CASE WHEN email_text = '' THEN "
+        f"{q(R.EMPTY_MAIL)} ELSE {q(R.LONG_MAIL.format(limit=R.MAX_MAIL_CHARS))} END AS error "
+        f"FROM checked WHERE email_text = '' OR length(email_text) > {R.MAX_MAIL_CHARS}")
     s = SCAN_TABLE
     out["history_search"] = s + (
         f"SELECT {SCAN_VIEW} FROM scans WHERE email_text ILIKE '%paypal%LOGIN%' OR note ILIKE "
@@ -555,11 +564,10 @@ SELECT *, CASE WHEN legitimate_pct = 0 THEN 'Infinity'::DOUBLE
     inbox = (", inbox AS (SELECT conv_id * 1000 + turn AS mail_id, CASE WHEN turn % 2 = 0 THEN ' ' "
              "ELSE 'Dear member, act now: http://bit.ly/q' || chr(10) END || CASE WHEN turn % 5 = 4 "
              "THEN '  ' ELSE text END AS email_text FROM conversations), fresh AS (SELECT mail_id, "
-             f"{strip('email_text')} AS email_text FROM inbox WHERE {strip('email_text')} <> '' "
-             f"AND length({strip('email_text')}) <= {R.MAX_MAIL_CHARS})")
-    # Both tables go through one detection, the new mail with shifted numbers.
+             f"{strip('email_text')} AS email_text FROM inbox WHERE {strip('email_text')} <> '')")
+    # Both tables go through one detection, the new mail with the numbers of its feed.
     both = with_(VALID, inbox, ", alls AS (SELECT mail_id, email_text FROM valid UNION ALL SELECT "
-                 "mail_id + 1 + (SELECT max(mail_id) + 1 FROM valid) - 1, email_text FROM fresh)",
+                 f"mail_id + {FEED_SPAN}, email_text FROM fresh)",
                  findings("alls"))
     out["append_scans"] = both + (
         "SELECT mail_id + 1 AS id, email_text, flags, score, risk_level, CASE WHEN mail_id <= "
@@ -570,7 +578,7 @@ SELECT *, CASE WHEN legitimate_pct = 0 THEN 'Infinity'::DOUBLE
         "mail_id % 6 = 0 AS network_checked FROM scored a")
     on_mail = with_(MAIL, ", ", THREATS.strip(), urls("mail"), checks("mail"))
     out["threat_join"] = on_mail + "SELECT mail_id, url, threat, ord, message FROM threat_hits"
-    out["domain_cap"] = on_mail + "SELECT mail_id, pos, domain FROM capped"
+    out["domain_cap"] = on_mail + f"SELECT mail_id, pos, domain FROM domains WHERE pos <= {R.DOMAINS_PER_MAIL}"
     out["domain_age"] = on_mail + "SELECT mail_id, pos, domain, age_days, message FROM new_domains"
     out["check_links"] = on_mail + "SELECT mail_id, messages, points FROM link_checks"
 
@@ -601,7 +609,7 @@ SELECT *, CASE WHEN legitimate_pct = 0 THEN 'Infinity'::DOUBLE
         "SELECT DISTINCT doc_id * 3 AS id FROM documents WHERE doc_id * 3 NOT IN "
         "(SELECT id FROM scans)")
     out["evolve_schema"] = s + (
-        f"SELECT id, flags, score, risk_level, note, {MINUTE} AS created_at, '[]' AS findings, "
+        f"SELECT id, email_text, flags, score, risk_level, note, {MINUTE} AS created_at, '[]' AS findings, "
         "0::INT AS network_checked FROM scans")
     # Rows whose stored JSON is unreadable or names no known category fall back to flags.
     out["legacy_findings"] = s + """
@@ -615,9 +623,9 @@ SELECT id, (CASE WHEN id % 7 < 4 THEN CASE WHEN flags = '' THEN 0 ELSE
       chr(10) ORDER BY ord) FROM findings f WHERE f.mail_id = s.mail_id), '') END AS findings
 FROM scans s"""
     out["stream_scan"] = with_(VALID, ON_VALID) + (
-        "SELECT mail_id AS id, email_text, flags, score, risk_level, '' AS note, "
+        f"SELECT mail_id + 1 + {FEED_SPAN} AS id, email_text, flags, score, risk_level, '' AS note, "
         "'2024-02-01 00:00' AS created_at, false AS network_checked FROM scored")
-    arrived = (", arrived AS (SELECT mail_id AS id, mail_id, email_text, flags, score, risk_level, "
+    arrived = (f", arrived AS (SELECT mail_id + 1 + {FEED_SPAN} AS id, mail_id, email_text, flags, score, risk_level, "
                "false AS network_checked FROM scored)")
     out["stream_link_check"] = merged("arrived", "''", "'2024-02-01 00:00'", arrived)
     return out

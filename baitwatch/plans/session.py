@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,9 +26,13 @@ def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8) ->
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is not set, as in tests, a temporary folder stands in for it.
+    Where that is not set, a temporary folder stands in for it if the master is
+    ``local[...]``, where there is one machine only. Elsewhere that is an error.
     """
     shared = spark.conf.get(CHECKPOINT_DIR, None)
     if not shared:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"{CHECKPOINT_DIR} has to name a shared folder on {master}")
         shared = tempfile.mkdtemp(prefix="baitwatch-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores.
+    """``df`` over as many partitions as ``spark.sql.shuffle.partitions`` says.
 
     Detection costs far more than moving a row, and a Parquet file with one row group
-    is read by a single task. A table that already has a partition per core, as any
-    large one, is returned as it is and not shuffled.
+    is read by a single task. A stream spreads its micro-batches itself.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= 2 * cores:
+    if df.isStreaming:
         return df
-    return df.repartition(4 * cores, key)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

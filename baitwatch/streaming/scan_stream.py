@@ -12,15 +12,31 @@ from pyspark.sql.streaming import StreamingQuery
 
 from baitwatch.operators.enrich import check_links, link_check_queue
 from baitwatch.operators.scans import merge_link_findings, new_scans
+from baitwatch.operators.validate import quarantined_mail
 
 
 def stream_scan(
-    mail: DataFrame, out_path: str, checkpoint: str, received_at=None, trigger=None
+    mail: DataFrame, out_path: str, checkpoint: str, received_at=None, trigger=None,
+    feed: int = 1, max_chars: int | None = None,
 ) -> StreamingQuery:
-    """Appends a scan row to ``out_path`` for each valid mail of a stream."""
+    """Appends a scan row to ``out_path`` for each valid mail of a stream.
+
+    Ids are those a batch over the same feed assigns.
+    """
     when = F.current_timestamp() if received_at is None else received_at
+    return _append(new_scans(mail, when, feed, max_chars), out_path, checkpoint, trigger)
+
+
+def stream_quarantine(
+    mail: DataFrame, out_path: str, checkpoint: str, max_chars: int | None = None, trigger=None
+) -> StreamingQuery:
+    """The second sink of a stream: mail that ``stream_scan`` leaves out, with the reason."""
+    return _append(quarantined_mail(mail, max_chars), out_path, checkpoint, trigger)
+
+
+def _append(rows: DataFrame, out_path: str, checkpoint: str, trigger) -> StreamingQuery:
     return (
-        new_scans(mail, when).writeStream.format("parquet").outputMode("append")
+        rows.writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start(out_path)
     )
