@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -95,14 +96,20 @@ class ItemIndex:
 
     def starts(self, words: list[str]) -> dict[int, list[tuple[int, int]]]:
         """For each item size the ranges of window starts that hold a shared shingle."""
-        ids = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
+        ids = np.array([*map(self.vocabulary.get, words, repeat(0))], np.int64)
         ranges: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for n in self.lengths:
             if len(ids) < n or np.count_nonzero(ids) < n:
                 continue
+            known = ids != 0
+            run = known[:len(ids) - n + 1].copy()
+            for i in range(1, n):
+                run &= known[i:len(ids) - n + 1 + i]
+            places = np.nonzero(run)[0]
             seen = np.lib.stride_tricks.sliding_window_view(ids, n)
-            places = np.nonzero((seen != 0).all(1))[0]
-            places = places[np.isin(_rolling(seen[places]), self.known[n])]
+            keys = _rolling(seen[places])
+            near = np.searchsorted(self.known[n], keys).clip(max=len(self.known[n]) - 1)
+            places = places[self.known[n][near] == keys]
             for p in places.tolist():
                 for size in self.sizes_of.get(tuple(seen[p].tolist()), ()):
                     last = max(0, len(ids) - size)
