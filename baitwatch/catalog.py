@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 from baitwatch import fixture as X
 from baitwatch.functions.text import minute
 from baitwatch.operators import corpus, enrich, evaluate, history, links, scans, sender, text_rules
-from baitwatch.operators.detect import analyse_mail, long_findings, score_mail
+from baitwatch.operators.detect import (
+    analyse_mail,
+    brand_mismatches,
+    long_findings,
+    score_mail,
+)
 from baitwatch.operators.validate import normalize_label, quarantined_mail, validate_mail
 from baitwatch.plans.session import work_folder
 from baitwatch.registry import MAX_MAIL_CHARS, TEXT_CATEGORIES, TEXT_RULES
@@ -174,8 +179,7 @@ def queries() -> dict[str, Query]:
         "url_shorteners": _on_mail(links.shortened_links),
         "url_suspicious_tld": _on_mail(links.suspicious_tld_links),
         "domain_spoofing": _on_mail(links.tag_domain_spoofing),
-        "brand_link_mismatch": _on_mail(lambda m: long_findings(m).filter(
-            F.col("rule") == "brand_link_mismatch").select("mail_id", "message")),
+        "brand_link_mismatch": _on_mail(brand_mismatches),
         "all_findings": _on_mail(long_findings),
         "score_mail": _on_mail(lambda m: score_mail(m).select("mail_id", "score", "risk_level")),
         "analyse_mail": _on_mail(_analysed),

@@ -34,45 +34,44 @@ class Template:
 
 
 TEMPLATES = (
-    Template(1, "From: PayPal Service <service@paypal-secure-billing.tk>\nReply-To: desk@mail.ru\n"
-                "Subject: Your account has been limited\n\nDear Customer,\nVerify your account "
-                "within 24 hours to avoid permanent suspension.\n",
-             "\nhttp://paypal-secure-billing.tk/login/verify?id={id}\nFailure to do so will result "
-             "in closure of your account."),
-    Template(0, "Hi Sam, notes from today.\n", "\nAgenda: {page}"),
-    Template(1, "Subject: STRICTLY CONFIDENTIAL\n\nDear Friend,\nI am Barrister Okoro. My late "
-                "client died in an accident leaving the sum of USD 12,500,000.00 in a dormant "
-                "account.\n",
-             "\n30% of the total sum will be for you. Reply to me at barr.okoro@yahoo.com as the "
-             "next of kin."),
-    Template(0, "From: Notifications <no-reply@github.com>\nSubject: Monthly usage\n\nHi,\n",
-             "\nUpdate payment details anytime from https://github.com/settings/billing."),
-    Template(1, "Subject: Mailbox storage limit exceeded\n\nDear Email User,\nYour mailbox is "
-                "almost full.\n",
-             "\nPlease enter your username and password to re-validate your mailbox: "
-             "http://webmail-upgrade{id}.xyz/owa\nIT Help Desk / System Administrator"),
-    Template(0, "Important notice: the office is closed. No action required.\n",
+    Template(1, "From: Amazon Returns <refunds@amazon-refund-desk.tk>\nReply-To: desk7@post.example\n"
+                "Subject: One refund is waiting\n\nDear Customer,\nConfirm your password before "
+                "noon, or your account will be suspended.\n",
+             "\nhttp://amazon-refund-desk.tk/signin/confirm?r={id}\nFailure to answer leads to "
+             "termination of your account."),
+    Template(0, "Morning all, here is what we discussed on the bus.\n", "\nMap of the stops: {page}"),
+    Template(1, "Subject: A matter for you alone\n\nDear Friend,\nMy name is Barrister Tamsin Vole. "
+                "A late client of mine left the sum of USD 7,350,000.00 in a dormant account.\n",
+             "\nKeep 25% of the total sum as the next of kin. Reply to me at vole.chambers@yahoo.com "
+             "and keep it strictly confidential."),
+    Template(0, "From: Water Works <meter@waterworks.example>\nSubject: Your reading\n\nHello,\n",
+             "\nThe readings of the year are at https://waterworks.example/readings."),
+    Template(1, "Subject: Storage\n\nDear Email User,\nYour mailbox is almost full and has exceeded "
+                "the storage limit.\n",
+             "\nEnter your username and password to upgrade your mailbox: "
+             "http://webmail-upgrade{id}.xyz/owa\nThe system administrator"),
+    Template(0, "The library shuts early on Thursday; books can wait.\n",
              "\nSee www.example.org/news, or example.com."),
     Template(1, "You have won! Lucky winner of the national lottery draw, batch number {id}.\n",
              "\nClaim your prize at http://192.168.1.1/claim or open prize-form.exe"),
-    Template(0, "Act now - limited time offer, our sale expires soon!\n", "\nVisit {page} today"),
-    Template(1, "Urgent: update your BVN to avoid restriction.\n",
+    Template(0, "The plant sale is limited to one table this year!\n", "\nStall plan: {page}"),
+    Template(1, "Renew your BVN this evening to avoid restriction of the card.\n",
              "\nhttp://bit.ly/x{id} http://bit.ly/x{id} https://t.co/y{id}"),
-    Template(0, "From: Alice Smith <alice@mail.example.com>\nReply-To: support@example.com\n\n"
-                "Dear team,\n", "\nThanks, Alice"),
-    Template(1, "From: support@bank.example <thief{id}@evil.example>\nReturn-Path: "
-                "<bounce@other.example>\n\nUnusual activity detected on your account.\n",
-             "\nConfirm your password: http://www.paypal.com@203.0.113.4/login"),
+    Template(0, "From: Odile Brandt <odile@post.harbour.example>\nReply-To: crew@harbour.example\n\n"
+                "Dear crew,\n", "\nUntil Monday, Odile"),
+    Template(1, "From: desk@savings.example <box{id}@rented.example>\nReturn-Path: "
+                "<lists@third.example>\n\nUnusual activity was seen on your account.\n",
+             "\nConfirm your password: http://www.ebay.com@198.51.100.9/login"),
     Template(0, "Meeting moved to room 4.\n", "\n"),
-    Template(1, "From: Customer Support Team <helpdesk{id}@gmail.com>\n\nDear valued customer,\n",
+    Template(1, "From: Tenant Support Team <rooms{id}@gmail.com>\n\nDear valued customer,\n",
              "\nReply with your details. Contact me on +1 555 or write to us at x@hotmail.com."),
-    Template(0, "From: Abhi <abhi@gmail.com>\nTo: you@example.com\nTo: second@example.com\n\nHi!\n",
+    Template(0, "From: Marisol <marisol.k@gmail.com>\nTo: hut@alps.example\nTo: hut2@alps.example\n\nHello!\n",
              "\nPhotos: https://photos.example.net/album/{id}"),
     Template(1, "Security alert: please validate your account by clicking the link below.\n",
              "\nhttps://g00gle.com/{id} and http://paypa1.com/login and http://amazom.com/"),
-    Template(0, "Today's roundup: Netflix earnings beat expectations.\n",
+    Template(0, "The chess club watched a film on Netflix last night.\n",
              "\nRead more at https://news.example.org/story/{id}"),
-    Template(1, "Dear Customer, please verify your account with Netflix here.\n",
+    Template(1, "Dear Customer, validate your account with Netflix on this page.\n",
              "\nhttp://billing-update.example.org/login {page} http://w{id}.top/a"),
     Template(0, "Please verify your account to continue.\n",
              "\nhttps://www.netflix.com/account?n={id}"),
@@ -107,8 +106,8 @@ TEMPLATES = (
     Template(1, "From: Wells Fargo Bank <alerts@wells{id}.example>\n\nYour access is restricted. "
                 "Send us your login.\n",
              "\nhttps://wellsfarg0.com/?x=https://wellsfargo.com/"),
-    Template(0, "From: PayPal <service@paypal.com>\n\nYour receipt is ready.\n",
-             "\nhttps://www.paypal.com/receipt/{id}"),
+    Template(0, "From: eBay <post@ebay.com>\n\nThe seller has packed the lamp.\n",
+             "\nhttps://www.ebay.com/order/{id}"),
     Template(1, "Password expires today. Click here now.\n",
              "\nhttps://[bad/{id} http://a[b].com/x www.office-login.top/{id}"),
     Template(0, "A package from DHL is on its way.\n", "\nhttps://www.dhl.com/track/{id}"),

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 # Unicode white space, as trimming and ``\s`` see it.
 SPACES = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        "
-    "        　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # White space that does not end a line, and the characters that do.
-INLINE_SPACE = r"\t\x1f\x20\xa0  -   　"
-LINE_END = r"\n-\r\x1c-\x1e\x85  "
+INLINE_SPACE = r"\t\x1f\x20\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
+LINE_END = r"\n-\r\x1c-\x1e\x85\u2028\u2029"
 
 _WORD = r"\p{L}\p{N}_"
 _BOUNDARY = f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"

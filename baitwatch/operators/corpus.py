@@ -61,11 +61,7 @@ def focused_splits(
     The window only sees the ``2 * per_class`` rows picked for a class, never the
     corpus.
     """
-    pool = pool_focused(corpus)
-    picked = None
-    for label in ("phishing", "legitimate"):
-        rows = smallest_by_hash(pool.filter(F.col("label") == label), 2 * per_class, seed, key)
-        picked = rows if picked is None else picked.unionByName(rows)
+    picked = smallest_by_hash(pool_focused(corpus), 2 * per_class, seed, key, group="label")
     place = F.row_number().over(Window.partitionBy("label").orderBy("_hash", key))
     return picked.withColumn(
         "split", F.when(place <= per_class, "tuning").otherwise("holdout")

@@ -103,3 +103,18 @@ def score_mail(mail: DataFrame, text: str = "email_text") -> DataFrame:
     df = df.withColumn("_c_link_manipulation", F.col("_own_link") | mismatch)
     df = once(df, keep, score=score(lambda key: f"_c_{key}"))
     return df.withColumn("risk_level", risk_level(F.col("score")))
+
+
+def brand_mismatches(mail: DataFrame, text: str = "email_text") -> DataFrame:
+    """``mail_id, message`` for mail whose links miss the brand that it names.
+
+    Only the rules of the categories that call for the check are tried, and only they.
+    """
+    df = with_links(with_words(mail.select("mail_id", text), text), text)
+    gate = " OR ".join(rule_fires(r, text) for r in TEXT_RULES if r.category in _GATES)
+    wanted = (F.size("_urls") > 0) & F.expr(f"({gate})")
+    df = df.withColumn("_lower", F.when(wanted, F.lower(F.col(text))))
+    df = df.withColumn("_brand", mentioned_brand("_lower"))
+    found = brand_mismatch(F.col("_brand"), F.col("_links"))
+    rows = once(df, ["mail_id"], message=found["message"])
+    return rows.filter(F.col("message").isNotNull())

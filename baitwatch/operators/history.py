@@ -47,8 +47,8 @@ def scan_by_id(scans: DataFrame, scan_id: int) -> DataFrame:
 def newest(scans: DataFrame, n: int = HISTORY_PAGE) -> DataFrame:
     """The ``n`` rows with the highest id.
 
-    The cut is found on the id column alone; the wide rows are read for ids from
-    there on, which Parquet prunes by row group.
+    For a stored table the cut is found on the id column alone; the wide rows are read for
+    ids from there on, which Parquet prunes by row group.
     """
     top = scans.select("id").orderBy(F.desc("id")).limit(n)
     cut = top.select(F.min("id")).scalar()
@@ -59,7 +59,12 @@ def history_page(
     scans: DataFrame, query: str | None = None, level: str | None = None, n: int = HISTORY_PAGE,
     literal: bool = False,
 ) -> DataFrame:
-    return newest(filter_risk(search_scans(scans, query, literal), level), n)
+    """The newest scans that match. A search reads the text anyway, so with one the rows
+    are found in a single pass that keeps ``n`` of them per task."""
+    found = filter_risk(search_scans(scans, query, literal), level)
+    if (query or "").strip():
+        return found.orderBy(F.desc("id")).limit(n)
+    return newest(found, n)
 
 
 def risk_totals(scans: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ histogram with at most 32 rows first tells how small a hash has to be, so only a
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -22,15 +23,29 @@ def _depth(digest: Column) -> Column:
     return F.lit(32) - F.length(F.bin(head))
 
 
-def smallest_by_hash(rows: DataFrame, n: int, seed, key: str) -> DataFrame:
-    """The ``n`` rows with the smallest seeded hash of a unique key, hash in ``_hash``."""
+def smallest_by_hash(
+    rows: DataFrame, n: int, seed, key: str, group: str | None = None
+) -> DataFrame:
+    """The ``n`` rows with the smallest seeded hash of a unique key, hash in ``_hash``.
+
+    With ``group``, which has few values, so many of each of them. One pass finds how
+    small hashes have to be, a second one reads the rows below that.
+    """
+    groups = [group] if group else []
     hashed = rows.withColumn("_hash", seeded_hash(seed, key))
-    depth = _depth(F.col("_hash"))
-    levels = hashed.groupBy(depth.alias("depth")).agg(F.count("*").alias("n"))
+    levels = hashed.groupBy(*groups, _depth(F.col("_hash")).alias("depth")).agg(
+        F.count("*").alias("n"))
     at_least = (
-        levels.select(F.explode(F.sequence(F.lit(0), "depth")).alias("depth"), "n")
-        .groupBy("depth").agg(F.sum("n").alias("n"))
+        levels.select(*groups, F.explode(F.sequence(F.lit(0), "depth")).alias("depth"), "n")
+        .groupBy(*groups, "depth").agg(F.sum("n").alias("n"))
     )
-    cut = at_least.filter(F.col("n") >= n).select(F.max("depth")).scalar()
-    few = hashed.filter(depth >= F.coalesce(cut, F.lit(0)))
-    return few.orderBy("_hash", key).limit(n)
+    enough = at_least.filter(F.col("n") >= n)
+    depth = _depth(F.col("_hash"))
+    if not group:
+        cut = enough.select(F.max("depth")).scalar()
+        few = hashed.filter(depth >= F.coalesce(cut, F.lit(0)))
+        return few.orderBy("_hash", key).limit(n)
+    cuts = enough.groupBy(group).agg(F.max("depth").alias("_cut"))
+    few = hashed.join(cuts, group, "left").filter(depth >= F.coalesce("_cut", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("_hash", key))
+    return few.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place", "_cut")

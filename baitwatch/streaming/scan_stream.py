@@ -21,7 +21,8 @@ def stream_scan(
 ) -> StreamingQuery:
     """Appends a scan row to ``out_path`` for each valid mail of a stream.
 
-    Ids are those a batch over the same feed assigns.
+    Ids are those a batch over the same feed assigns. A stream lists its files in a log
+    that hides others in its folder, so each feed of a table has a folder of its own.
     """
     when = F.current_timestamp() if received_at is None else received_at
     return _append(new_scans(mail, when, feed, max_chars), out_path, checkpoint, trigger)

@@ -125,16 +125,17 @@ def test_split_address(spark):
 
 
 @pytest.mark.parametrize("text,rules", [
-    ("From: Alice Smith <alice@example.com>\nReply-To: alice@example.com\n\nHi", []),
-    ("From: Billing <b@example.com>\nReply-To: c@mail.ru\nReturn-Path: <d@z.org>\n\nHi",
-     ["reply_to_mismatch", "return_path_mismatch"]),
-    ("From: Pay Pal <s@paypal-x.tk>\n\nHi", ["display_name_brand_mismatch"]),
-    ("From: PayPal <service@paypal.com>\n\nHi", []),
-    ("From: support@bank.example <thief@evil.example>\n\nHi", ["display_name_address_mismatch"]),
-    ("From: Customer Support <h@gmail.com>\n\nHi", ["organisation_from_free_mail"]),
-    ("From: Abhi <abhi@gmail.com>\n\nHi", []),
-    ("From: Alerts <a@mail.example.com>\nReply-To: s@example.com\n\nHi", []),
-    ("Subject: x\n\nFrom: PayPal <x@evil.tk>", []),
+    ("From: Odile <odile@harbour.example>\nReply-To: odile@harbour.example\n\nAhoy", []),
+    ("From: Quay <q@harbour.example>\nReply-To: r@rented.example\nReturn-Path: <l@third.example>\n\n"
+     "Ahoy", ["reply_to_mismatch", "return_path_mismatch"]),
+    ("From: A ma zon <p@parcel-desk.tk>\n\nAhoy", ["display_name_brand_mismatch"]),
+    ("From: Amazon <p@parcel-desk.tk>\n\nAhoy", ["display_name_brand_mismatch"]),
+    ("From: eBay <post@ebay.com>\n\nAhoy", []),
+    ("From: desk@savings.example <box@rented.example>\n\nAhoy", ["display_name_address_mismatch"]),
+    ("From: Tenant Support <rooms@gmail.com>\n\nAhoy", ["organisation_from_free_mail"]),
+    ("From: Marisol <marisol.k@gmail.com>\n\nAhoy", []),
+    ("From: Tides <t@news.harbour.example>\nReply-To: crew@harbour.example\n\nAhoy", []),
+    ("Subject: tide\n\nFrom: Amazon <p@parcel-desk.tk>", []),
 ])
 def test_sender_checks(mails, text, rules):
     assert [r.rule for r in tag_sender(mails(text)).collect()] == rules

@@ -11,6 +11,8 @@ from baitwatch import catalog, oracle
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("documents", "labels", "pages", "events", "conversations")
+#: No mail of the smallest tables is long or blank.
+EMPTY = {"quarantined_mail"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 
 
@@ -35,4 +37,4 @@ def test_query_equals_sql(spark, duck, name):
     sql = duck.sql(oracle.queries()[name])
     assert sorted(sql.columns) == columns
     expected = Counter(sql.select(*[f'"{c}"' for c in columns]).fetchall())
-    assert got == expected and expected
+    assert got == expected and (expected or name in EMPTY)

@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from baitwatch.operators import corpus, enrich, evaluate, history, scans
+from baitwatch.operators.validate import quarantined_mail
 from baitwatch.plans.hash_sample import seeded_hash, smallest_by_hash
+from baitwatch.plans.session import work_folder
 from baitwatch.sources import datasets, exports
-from baitwatch.streaming.scan_stream import stream_scan
+from baitwatch.streaming.scan_stream import stream_link_check, stream_quarantine, stream_scan
 
 
 
@@ -107,6 +109,10 @@ def test_enrichment_with_a_hot_link(spark, mails):
             expected.append(f"Domain 'd{i}.top' was registered only {i} day(s) ago, which is common "
                             "for phishing sites")
             points += 2
+        if i == 1:
+            expected.append("Domain 'g1.top' was registered only 0 day(s) ago, which is common "
+                            "for phishing sites")
+            points += 2
         if i == 6:
             expected.append("Domain 'e6.top' was registered only -1 day(s) ago, which is common "
                             "for phishing sites")
@@ -128,18 +134,66 @@ def test_domain_cap_and_array_dates(spark, mails):
 
 @pytest.fixture(scope="module")
 def table(spark, mails):
-    texts = ["Please verify your account at http://w1.top/", "hello", "   ",
-             "Dear Customer, 100%_off www.x.org", "x" * 20001]
-    return scans.new_scans(mails(*texts), AT()).cache()
+    texts = ["Kindly verify your account at http://w1.top/", "hello", "   ",
+             "Dear Customer, 100%_off www.x.org"]
+    rows = scans.new_scans(mails(*texts), AT(), feed=0)
+    return rows.withColumn("id", F.col("id") - 1).cache()
 
 
 def test_append_keeps_invalid_mail_out(table, mails):
     assert [r.id for r in table.orderBy("id").collect()] == [0, 1, 3]
     grown = scans.append_scans(table, mails("new", " ", "newer"), AT()).orderBy("id").collect()
-    assert [r.id for r in grown] == [0, 1, 3, 4, 6]
+    first = 1 + scans.FEED_SPAN
+    assert [r.id for r in grown] == [0, 1, 3, first, first + 2]
     assert grown[-1].created_at == dt.datetime(2024, 2, 1, 10, 11) and grown[-1].note == ""
 
 
+def test_mail_of_any_length_is_kept_unless_a_limit_is_set(mails):
+    df = mails("x" * 20001, "y" * 300_000, " ", "short")
+    assert {r.id for r in scans.new_scans(df, AT(), feed=0).collect()} == {1, 2, 4}
+    kept = scans.new_scans(df, AT(), feed=0, max_chars=20000).collect()
+    out = quarantined_mail(df, 20000).collect()
+    assert {r.id - 1 for r in kept} | {r.mail_id for r in out} == {0, 1, 2, 3}
+    assert {r.mail_id: "long" in r.error for r in out} == {0: True, 1: True, 2: False}
+
+
+def test_every_domain_of_a_mail_is_looked_up(spark, mails):
+    df = mails(" ".join(f"http://n{i}.top/" for i in range(10)))
+    reg = spark.createDataFrame([(f"n{i}.top", dt.datetime(2024, 1, 30)) for i in range(10)],
+                                "domain string, created_at timestamp_ntz")
+    threats = spark.createDataFrame([], "url string, threat_type string, ord int")
+    as_of = "2024-02-01 00:00:00"
+    assert enrich.new_domain_hits(df, reg, as_of).count() == 10
+    assert enrich.new_domain_hits(df, reg, as_of, domains_per_mail=3).count() == 3
+    assert enrich.check_links(df, threats, reg, as_of).first().points == 20
+
+
+def test_merge_keeps_flags_of_rows_without_findings(spark, table):
+    stored = table.limit(1).withColumns({
+        "id": F.lit(7), "flags": F.array(F.lit("an old flag")),
+        "findings": F.slice("findings", 1, 0), "network_checked": F.lit(False)})
+    rows = stored.unionByName(stored.withColumn("id", F.lit(8)))
+    found = F.array(F.struct(*[F.lit("safe_browsing").alias("rule"), F.lit("link_manipulation")
+                               .alias("category"), F.lit("new").alias("message"), F.lit("").alias("match")]))
+    hits = spark.range(7, 8).select("id", found.cast(rows.schema["findings"].dataType)
+                                    .alias("link_findings"), F.lit(5).alias("points"))
+    merged = {r.id: r for r in scans.merge_link_findings(rows, hits).collect()}
+    assert merged[7].flags == ["an old flag", "new"] and merged[8].flags == ["an old flag"]
+    assert [f.message for f in merged[7].findings] == ["an old flag", "new"]
+
+
+def test_local_folder_needs_a_local_master():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="shared folder"):
+        work_folder(Session, "x")
+
+
 def test_merge_is_idempotent(spark, table):
     threats = spark.createDataFrame([("http://w1.top/", "MALWARE", 1)],
                                     "url string, threat_type string, ord int")
@@ -241,4 +295,31 @@ def test_stream_equals_batch(spark, mails, tmp_path):
     stream_scan(source, out, state, received_at=AT()).awaitTermination()
     assert sorted(spark.read.parquet(out).collect()) == sorted(scans.new_scans(df, AT()).collect())
     stream_scan(source, out, state, received_at=AT()).awaitTermination()
-    assert spark.read.parquet(out).count() == 2
+    assert spark.read.parquet(out).count() == 3
+    rejects = str(tmp_path / "rejects")
+    stream_quarantine(source, rejects, str(tmp_path / "state2"), 20000).awaitTermination()
+    assert {r.mail_id for r in spark.read.parquet(rejects).collect()} == {1, 3}
+
+
+def test_streams_into_a_table_with_rows_and_repeated_batches(spark, mails, tmp_path):
+    """A feed of its own never collides with stored rows, and a batch that runs again
+    leaves one result."""
+    out, checked = str(tmp_path / "scans"), str(tmp_path / "checked")
+    scans.new_scans(mails("stored http://w1.top/", "stored too"), AT(), feed=0).write.parquet(f"{out}/feed=0")
+    df = mails("arrived http://w1.top/", "arrived too")
+    df.write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    stream_scan(source, f"{out}/feed=1", str(tmp_path / "s1"), received_at=AT()).awaitTermination()
+    ids = [r.id for r in spark.read.parquet(out).collect()]
+    assert len(ids) == len(set(ids)) == 4
+    threats = spark.createDataFrame([("http://w1.top/", "MALWARE", 1)],
+                                    "url string, threat_type string, ord int")
+    reg = spark.createDataFrame([], "domain string, created_at timestamp_ntz")
+    rounds = []
+    for turn in ("s2", "s3"):
+        stream_link_check(spark, out, checked, str(tmp_path / turn), threats, reg,
+                          "2024-02-01 00:00:00").awaitTermination()
+        rounds.append(sorted((r.id, r.score, r.network_checked)
+                             for r in spark.read.parquet(checked).collect()))
+    assert rounds[0] == rounds[1] and [r[0] for r in rounds[0]] == sorted(ids)
+    assert all(r[2] for r in rounds[0])
