@@ -99,10 +99,13 @@ def write_archive(pages: DataFrame, key: str = "page_id", url: str = "url", html
     groups = written(groups, "digests")
 
     spark = pages.sparkSession
-    store = rows.join(
-        groups.select(F.col("first").alias("_first"), F.col("digest").alias("_digest")),
-        rows.page_id.eqNullSafe(F.col("_first")) & (rows.digest == F.col("_digest")), "left_semi")
-    store = store.dropDuplicates(["page_id", "digest"])
+    # A null id gets the lowest number, so that the join and what follows share one exchange.
+    def key_of(column: str):
+        return F.coalesce(column, F.lit(-(1 << 63)))
+
+    stored = groups.select(key_of("first").alias("key"), "digest")
+    store = rows.select(key_of("page_id").alias("key"), "digest", "payload").join(
+        stored, ["key", "digest"], "left_semi").dropDuplicates(["key", "digest"])
 
     def pack(batch: pa.RecordBatch):
         yield {"digest": batch.column(0),
