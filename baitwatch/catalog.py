@@ -21,8 +21,8 @@ from baitwatch.operators.detect import (
 )
 from baitwatch.operators.validate import normalize_label, quarantined_mail, validate_mail
 from baitwatch.plans.session import work_folder
-from baitwatch.registry import MAX_MAIL_CHARS, TEXT_CATEGORIES, TEXT_RULES
-from baitwatch.sources.datasets import read_labelled, write_labelled
+from baitwatch.registry import CORPORA, MAX_MAIL_CHARS, TEXT_CATEGORIES, TEXT_RULES
+from baitwatch.sources.datasets import load_split, read_corpora, read_labelled, write_labelled
 from baitwatch.sources.exports import flat_export, nested_export
 from baitwatch.streaming.scan_stream import stream_link_check, stream_scan
 
@@ -73,6 +73,20 @@ def _csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return read_labelled(spark, path).select("label", "email_text")
 
 
+def _load_split(spark: SparkSession, sf: str) -> DataFrame:
+    return load_split(_csv_round_trip(spark, sf), "phishing")
+
+
+def _read_corpora(spark: SparkSession, sf: str) -> DataFrame:
+    raw, base = X.raw_corpus(spark, sf), work_folder(spark, "corpora")
+    paths = {name: f"{base}/{name}.csv" for name in CORPORA}
+    for name, path in paths.items():
+        raw.filter(F.col("source") == name).select("label", "subject", "body").write.options(
+            header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False).csv(path)
+    return read_corpora(spark, paths)
+
+
 def _sources(spark: SparkSession, sf: str) -> DataFrame:
     pool = corpus.pool_labelled(X.raw_corpus(spark, sf))
     return evaluate.source_breakdown(score_mail(pool))
@@ -113,6 +127,14 @@ def _merge(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(scans.merge_link_findings(table, hits))
 
 
+def _merge_legacy(spark: SparkSession, sf: str) -> DataFrame:
+    """The same merge for rows as an older release stored them."""
+    table = scans.restore_findings(X.old_scans(spark, sf)).withColumn(
+        "created_at", F.to_timestamp_ntz("created_at", F.lit("yyyy-MM-dd HH:mm")))
+    hits = _checks(spark, sf, enrich.link_check_queue(table), "id")
+    return _flat(scans.merge_link_findings(table, hits))
+
+
 def _evolve(spark: SparkSession, sf: str) -> DataFrame:
     older = X.old_scans(spark, sf).drop("findings", "network_checked")
     return scans.evolve_schema(older)
@@ -200,6 +222,8 @@ def queries() -> dict[str, Query]:
         "focused_pool": _on_corpus(corpus.pool_focused),
         "label_counts": _on_corpus(lambda c: corpus.label_counts(corpus.pool_labelled(c))),
         "read_labelled": _csv_round_trip,
+        "load_split": _load_split,
+        "read_corpora": _read_corpora,
         "seeded_sample": _on_corpus(lambda c: corpus.mixed_sample(c, n=400)),
         "focused_splits": lambda spark, sf: _splits(spark, sf).select("row_id", "label", "split"),
         "split_disjoint": lambda spark, sf: corpus.split_overlap(_splits(spark, sf)),
@@ -228,12 +252,13 @@ def queries() -> dict[str, Query]:
             X.mail(spark, sf), X.domain_reg(spark, sf), X.AS_OF),
         "check_links": _check_links,
         "merge_link_findings": _merge,
-        "update_notes": lambda spark, sf: scans.update_notes(
-            X.scans(spark, sf), X.note_edits(spark, sf)).select("id", "note"),
+        "merge_legacy": _merge_legacy,
+        "update_notes": lambda spark, sf: _flat(scans.update_notes(
+            X.scans(spark, sf), X.note_edits(spark, sf))),
         "rejected_notes": lambda spark, sf: scans.rejected_notes(
             X.scans(spark, sf), X.note_edits(spark, sf)),
-        "delete_scans": lambda spark, sf: scans.delete_scans(
-            X.scans(spark, sf), X.delete_requests(spark, sf)).select("id", "risk_level", "score"),
+        "delete_scans": lambda spark, sf: _flat(scans.delete_scans(
+            X.scans(spark, sf), X.delete_requests(spark, sf))),
         "missing_deletes": lambda spark, sf: scans.missing_deletes(
             X.scans(spark, sf), X.delete_requests(spark, sf)),
         "evolve_schema": _evolve,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from baitwatch.functions.text import sql_array
 from baitwatch.operators.detect import analyse_mail
 from baitwatch.operators.validate import valid_mail
+from baitwatch.plans.scan_store import store_scans
 from baitwatch.plans.session import work_folder
 from baitwatch.plans.spread import spread
 from baitwatch.registry import CORPORA
@@ -250,9 +251,10 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
         path = work_folder(spark, "scans")
-        scored_scans(spark, sf_dir).write.parquet(path)
-        _stored[key] = path
-    return spark.read.parquet(_stored[key])
+        name = path.rsplit("/", 1)[-1].replace("-", "_")
+        store_scans(scored_scans(spark, sf_dir), name, path)
+        _stored[key] = name
+    return spark.table(_stored[key])
 
 
 def scored_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

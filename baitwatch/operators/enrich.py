@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from baitwatch.functions.findings import FINDINGS, finding
 from baitwatch.functions.text import fill
 from baitwatch.functions.urls import URL_PATTERN, extract_urls, hostname, root_domain
-from baitwatch.plans.lookup import salted_lookup
+from baitwatch.plans.lookup import side_lookup
 from baitwatch.plans.once import exploded
 from baitwatch.registry import (
     DOMAINS_PER_MAIL,
@@ -63,7 +63,7 @@ def threat_hits(
     mail: DataFrame, threat_list: DataFrame, key: str = "mail_id", text: str = "email_text"
 ) -> DataFrame:
     """One row per mail and distinct listed link: ``key, url, threat, ord, message``."""
-    hits = salted_lookup(distinct_urls(mail, key, text), first_threats(threat_list), ["url"], key)
+    hits = side_lookup(distinct_urls(mail, key, text), first_threats(threat_list), ["url"])
     return hits.select(key, "url", "threat", "ord", _threat_message().alias("message"))
 
 
@@ -109,7 +109,7 @@ def new_domain_hits(
     """One row per mail and recently registered domain among its domains."""
     young = young_domains(domain_reg, as_of)
     domains = capped_domains(mail, domains_per_mail, key, text)
-    hits = salted_lookup(domains, young, ["domain"], key)
+    hits = side_lookup(domains, young, ["domain"])
     return hits.select(key, "pos", "domain", "age_days", _new_domain_message().alias("message"))
 
 
@@ -141,7 +141,7 @@ def check_links(
             F.lit(1).alias("kind"), d.alias("value"), i.alias("pos"))),
     )
     rows = exploded(df, [key], asked, "q").select(key, "q.*")
-    hits = salted_lookup(rows, listed.unionByName(young), ["kind", "value"], key)
+    hits = side_lookup(rows, listed.unionByName(young), ["kind", "value"])
     hits = hits.withColumn("ord", F.coalesce("ord", F.col("pos").cast("long")))
     ordered = F.array_sort(F.collect_list(F.struct("kind", "ord", "finding")))
     return hits.groupBy(key).agg(

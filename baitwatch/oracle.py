@@ -481,6 +481,8 @@ SELECT threshold, "precision", recall,
     out["focused_pool"] = with_(CORPUS) + "SELECT row_id, source, label, email_text FROM focused"
     out["label_counts"] = with_(CORPUS) + "SELECT label, count(*) AS n FROM labelled GROUP BY label"
     out["read_labelled"] = with_(CORPUS) + "SELECT label, email_text FROM labelled"
+    out["load_split"] = out["read_labelled"] + " WHERE label = 'phishing'"
+    out["read_corpora"] = with_(CORPUS) + "SELECT source, label, subject, body FROM raw_corpus"
     out["seeded_sample"] = with_(CORPUS) + (
         "SELECT row_id, source, label, email_text FROM labelled "
         f"ORDER BY md5('{R.MIXED_SEED}:' || row_id), row_id LIMIT 400")
@@ -592,19 +594,21 @@ SELECT *, CASE WHEN legitimate_pct = 0 THEN 'Infinity'::DOUBLE
             f"FROM {scans} LEFT JOIN link_checks USING (mail_id)")
 
     out["merge_link_findings"] = merged("scans", "note", MINUTE, SCANS)
+    out["merge_legacy"] = out["merge_link_findings"]
     edits = (", edits AS (SELECT (doc_id * 2 // 3) * 2 AS id, doc_id AS seq, CASE doc_id % 4 WHEN 0 "
              "THEN '' WHEN 1 THEN 'seen by ' || doc_id WHEN 2 THEN repeat('n', 2001) ELSE "
              "repeat('m', 2000) END AS note FROM documents)")
     edited = with_(VALID, ON_VALID, SCANS, edits)
     out["update_notes"] = edited + (
-        "SELECT id, coalesce(n.note, s.note) AS note FROM scans s LEFT JOIN (SELECT id, "
+        "SELECT id, email_text, flags, score, risk_level, coalesce(n.note, s.note) AS note, "
+        f"{MINUTE} AS created_at, network_checked FROM scans s LEFT JOIN (SELECT id, "
         "arg_max(note, seq) AS note FROM edits WHERE length(note) <= 2000 GROUP BY id) n USING (id)")
     out["rejected_notes"] = edited + (
         "SELECT id, seq, CASE WHEN s.id IS NULL THEN 'Scan not found' ELSE "
         f"{q(R.LONG_NOTE)} END AS error FROM edits LEFT JOIN scans s USING (id) "
         "WHERE s.id IS NULL OR length(edits.note) > 2000")
     out["delete_scans"] = s + (
-        "SELECT id, risk_level, score FROM scans WHERE id NOT IN (SELECT doc_id * 3 FROM documents)")
+        f"SELECT {SCAN_VIEW} FROM scans WHERE id NOT IN (SELECT doc_id * 3 FROM documents)")
     out["missing_deletes"] = s + (
         "SELECT DISTINCT doc_id * 3 AS id FROM documents WHERE doc_id * 3 NOT IN "
         "(SELECT id FROM scans)")

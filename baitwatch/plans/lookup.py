@@ -3,22 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-SALTS = 16
 
-
-def salted_lookup(
-    facts: DataFrame, side: DataFrame, keys: list[str], spread_by: str, salts: int = SALTS
-) -> DataFrame:
+def side_lookup(facts: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join of many ``facts`` with a side table that is unique by ``keys``.
 
-    One link can appear in a third of all mail. The rows of a key are spread over
-    ``salts`` tasks by a hash of ``spread_by`` and the side table is repeated that
-    often. The salt is a function of the row, so a task that runs again sends every
-    row where it went before. Spark still broadcasts the side table when its size
-    allows that, and no hint forces it to.
+    One link can appear in a third of all mail. Adaptive execution sees the size of each
+    shuffled partition and splits one that a hot key makes large over several tasks, which
+    read the one matching row of the side table each; the cut follows from the size, so no
+    number of splits has to be chosen. The side table is joined as it is: Spark broadcasts
+    it only when its own size allows that, and no hint forces it to.
     """
-    spread = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    repeated = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, [*keys, "_salt"]).drop("_salt")
+    return facts.join(side, keys)

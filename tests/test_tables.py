@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from baitwatch.operators import corpus, enrich, evaluate, history, scans
 from baitwatch.operators.validate import quarantined_mail
 from baitwatch.plans.hash_sample import seeded_hash, smallest_by_hash
+from baitwatch.plans.lookup import side_lookup
+from baitwatch.plans.scan_store import store_scans
 from baitwatch.plans.session import work_folder
 from baitwatch.sources import datasets, exports
 from baitwatch.streaming.scan_stream import stream_link_check, stream_quarantine, stream_scan
@@ -301,6 +303,69 @@ def test_stream_equals_batch(spark, mails, tmp_path):
     assert {r.mail_id for r in spark.read.parquet(rejects).collect()} == {1, 3}
 
 
+def exchanged(df):
+    """Columns below each shuffle of a plan."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-*()0123456789")) for line in lines]
+    for i, line in enumerate(lines):
+        if "Exchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i:end])
+
+
+def test_changes_by_id_do_not_move_the_texts(spark, table, tmp_path):
+    stored = store_scans(table, "scans_in_buckets", str(tmp_path / "scans"), buckets=4)
+    edits = spark.createDataFrame([(0, 1, "new")], "id long, seq long, note string")
+    hits = stored.select("id", F.col("findings").alias("link_findings"), F.lit(5).alias("points"))
+    changed = (scans.update_notes(stored, edits), scans.delete_scans(stored, edits),
+               scans.merge_link_findings(stored, hits))
+    old = {k: spark.conf.get(k) for k in (
+        "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for df in changed:
+            df = df.select("*")
+            assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
+            assert not any("email_text" in part for part in exchanged(df))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {r.id for r in changed[1].collect()} == {1, 3}
+    spark.sql("DROP TABLE scans_in_buckets")
+
+
+def test_a_hot_link_is_split_by_its_size(spark):
+    facts = spark.range(200_000).select(
+        F.concat(F.lit("http://"), F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(
+            F.col("id").cast("string"))).alias("url"), F.col("id").alias("mail"),
+        F.sha2(F.col("id").cast("string"), 256).alias("more"))
+    side = spark.range(1000).select(F.concat(F.lit("http://"), (F.col("id") * 3).cast("string"))
+                                    .alias("url")).union(spark.sql("SELECT 'http://hot'"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "500k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "300k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = side_lookup(facts, side, ["url"])
+        assert len(df.collect()) == 133_333 + 1000
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_results_are_written(spark, tmp_path):
+    df = spark.createDataFrame([(3, 0.5, "in use"), (6, 0.25, "")], "threshold int, recall double, x string")
+    datasets.write_results(df, str(tmp_path / "results"))
+    assert sorted(spark.read.json(str(tmp_path / "results")).select(*df.columns).collect()) == [
+        (3, 0.5, "in use"), (6, 0.25, "")]
+
+
 def test_streams_into_a_table_with_rows_and_repeated_batches(spark, mails, tmp_path):
     """A feed of its own never collides with stored rows, and a batch that runs again
     leaves one result."""
