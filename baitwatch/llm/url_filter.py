@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from baitwatch.llm.common import table, written
 
-BUCKET_DAYS = 7
+BUCKET_DAYS = 28
 _KEYS = ["list_name", "kind", "pattern"]
 
 
@@ -97,7 +97,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url",
         F.sequence(_bucket(F.col("valid_from"), bucket_days), _bucket(until, bucket_days))))
     active = (F.col("valid_from") <= F.col("_at")) & (
         F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
-    hits = candidates.join(spans, ["kind", "pattern", "bucket"]).filter(active)
+    # Spark can't tell the size of what an explode returns, so it must not broadcast it.
+    hits = candidates.join(spans.hint("merge"), ["kind", "pattern", "bucket"]).filter(active)
     hits = hits.groupBy("_url", "_at").agg(
         F.count("*").alias("n_matches"), F.min("list_name").alias("first_list"),
         F.min("valid_from").alias("listed_since"))
