@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from baitwatch.functions.text import INLINE_SPACE, LINE_END, SPACES, java_pattern, strip
-from baitwatch.registry import HEADER_NAMES
+from baitwatch.registry import ADDRESS_PATTERN, HEADER_NAMES
 
 _LINE_START = rf"(?:\A|(?<=[{LINE_END}])(?!(?<=\r)\n))"
 
@@ -22,7 +22,6 @@ _AFTER_BLOCK = rf"(?isu){_LINE_START}(?!{_header_line(HEADER_NAMES)}[^{LINE_END}
 # An address can only begin where a run of its characters begins, which keeps the
 # search linear on long runs without an ``@``. Its labels are taken without going back
 # (nothing follows them), so a very long domain needs no deep stack.
-ADDRESS_PATTERN = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
 _ADDRESS = r"(?<![\p{L}\p{N}_.+-])" + java_pattern(ADDRESS_PATTERN, flags="") + "+"
 
 

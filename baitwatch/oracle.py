@@ -136,8 +136,8 @@ attached AS (
         FROM {src}) WHERE match <> '')"""
 
 
-_HEADER = r"^\s*(" + "|".join(R.HEADER_NAMES) + r")\s*:\s*(.+)$"
-_ADDRESS = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
+_HEADER = R.HEADER_PATTERN
+_ADDRESS = R.ADDRESS_PATTERN
 
 
 def _domain(a: str) -> str:
@@ -214,8 +214,8 @@ sender_hits AS (
     AND ({" OR ".join(f"contains(lower(display), {q(w)})" for w in R.ORGANISATION_WORDS)}))"""
 
 
-_URL = r"""https?://[^\s<>"')]+|www\.[^\s<>"')]+"""
-_CREDENTIAL = r"""https?://[^\s<>"']*?/[^\s<>"']*?(?:""" + "|".join(R.CREDENTIAL_PATH_WORDS) + ")"
+_URL = R.LINK_PATTERN
+_CREDENTIAL = R.CREDENTIAL_LINK_PATTERN
 
 
 def urls(src: str) -> str:
@@ -279,7 +279,7 @@ link_hits AS (
     {fill(R.MESSAGES['has_links'], count='len(l)::VARCHAR')} AS message
   FROM url_lists WHERE len(l) > 0
   UNION ALL SELECT mail_id, -1, 0, 'ip_url', 'link_manipulation', {q(R.MESSAGES['ip_url'])}
-  FROM {src} WHERE regexp_matches(email_text, 'https?://(?:\\d{{1,3}}\\.){{3}}\\d{{1,3}}')
+  FROM {src} WHERE regexp_matches(email_text, {q(R.IP_LINK_PATTERN)})
   UNION ALL SELECT mail_id, pos, sub, rule, 'link_manipulation', message FROM (
     SELECT * FROM per_url QUALIFY row_number() OVER (
       PARTITION BY mail_id, message ORDER BY pos, sub) = 1)
