@@ -80,7 +80,7 @@ def write_archive(pages: DataFrame, key: str = "page_id", url: str = "url", html
 
     Of equal payloads the record with the smallest id is the response. Which one that is
     follows from digests alone, so a payload only moves if it is stored. A null payload is
-    empty; records without an id are responses of their own if no other has their payload.
+    empty, and a record without an id is always a response.
     """
     payload = F.encode(F.coalesce(pages[html], F.lit("")), "UTF-8")
     rows = pages.select(pages[key].cast("long").alias("page_id"), pages[url].alias("url"),
