@@ -130,7 +130,11 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """One row of each class with all its columns: the smallest id, of equal ids the smallest
     text hash; of rows that are equal in both one stays. A class without ids keeps one row."""
     prints = written(fingerprints(docs, key, text), "prints")
-    joined = prints.join(classes(prints).select("fp", "root"), "fp")
+    return keep_least(docs, prints.join(classes(prints).select("fp", "root"), "fp"), key, text)
+
+
+def keep_least(docs: DataFrame, joined: DataFrame, key: str, text: str) -> DataFrame:
+    """The row ``keep_one_of_each`` keeps of each root in ``joined(doc_id, text_hash, root)``."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     kept = joined.groupBy("root").agg(F.min(order).alias("o")).select(
         F.col("o.doc_id").alias("_key"), F.col("o.text_hash").alias("_hash"))

@@ -1,0 +1,33 @@
+"""Near copies of the pipeline stage against plain pairs."""
+
+import itertools
+import random
+
+import corpus_pipeline
+from baitwatch.llm import near_copies as N
+from baitwatch.llm import simhash
+
+
+def test_stage_joins_what_shares_four_fifths_of_its_shingles(spark, docs):
+    """Copies with words changed, far beyond two bits, go; less similar texts stay."""
+    random_ = random.Random(3)
+    rows = []
+    for group in range(4):
+        base = [f"w{random_.randrange(3000)}" for _ in range(200)]
+        for copy in range(8):
+            words = list(base)
+            for at in random_.sample(range(200), copy * 2):
+                words[at] = f"x{group}-{copy}-{at}"
+            rows.append((group * 10 + copy, " ".join(words)))
+    rows += [(90, "one two three"), (91, "one two four"), (92, "ONE  two three"), (93, ""), (94, " ")]
+    sets = {k: N.shingles(t) for k, t in rows}
+    root = {k: k for k in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if N.similarity(sets[a], sets[b]) >= 0.8 or sets[a] == sets[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {k: low if r == high else r for k, r in root.items()}
+    out = corpus_pipeline.one_of_each(spark, docs(*rows), "")
+    assert {r.doc_id for r in out.collect()} == set(root.values())
+    assert 93 in root.values() and len(set(root.values())) < len(rows)
+    prints = [simhash.fingerprint(t) % (1 << 64) for _, t in rows[:2]]
+    assert root[1] == 0 and (prints[0] ^ prints[1]).bit_count() > 2
