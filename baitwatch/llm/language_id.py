@@ -28,9 +28,13 @@ FILTERS = 8
 SAMPLE_ROWS = 6_000
 SAMPLE_WINDOWS = 3
 STEPS, BATCH, RATE = 1_500, 64, 0.01
-#: The pipeline rejects a document whose best language is less likely than this; of four
-#: languages the best always is more likely, so short texts stay.
+#: Least probability of the best language where no limits were fitted; up to four languages
+#: it rejects nothing.
 MIN_SCORE = 0.2
+#: Limits lie so far on the way from chance to the least score of a labelled row.
+MARGIN = 0.8
+#: Size classes of texts: the bits of their number of bytes, up to this many.
+SIZES = 9
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -210,11 +214,45 @@ def predict_language(docs: DataFrame, model: ByteConvNet, key: str = "doc_id",
     return map_batches(rows, ["doc_id", "text"], predict, SCHEMA)
 
 
+def size_class(text: str | None) -> int:
+    """Bits of the number of bytes, so short texts, which tell little, have limits of their own."""
+    return min(len((text or "").encode()).bit_length(), SIZES)
+
+
+def fit_limits(docs: DataFrame, model: ByteConvNet, key: str = "doc_id", text: str = "text",
+               lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> list[float]:
+    """Least score for each size class, from labelled rows that the model didn't learn from.
+
+    It lies between chance, one in the number of languages, and the least score of a labelled
+    row with a letter in that class, so labelled rows stay. A class without one rejects nothing.
+    """
+    chance = 1 / max(1, len(model.languages))
+    rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"),
+                       docs[lang].alias("lang"))
+    rows = sample_by_hash(rows.filter((fold("doc_id", 3) == 1) & F.col("lang").isNotNull()),
+                          "doc_id", sample_rows)
+    cache: list = []
+
+    def measure(batch: pa.RecordBatch):
+        texts = batch.column(0).to_pylist()
+        cache or cache.append(model.pairs())
+        found = [(size_class(t), score) for t, (name, score)
+                 in zip(texts, model.predict(texts, cache[0])) if name != UNDETERMINED]
+        yield {"size": [size for size, _ in found], "score": [score for _, score in found]}
+
+    got = map_batches(rows, ["text"], measure, "size long, score double")
+    least = {r.size: r.least for r in got.groupBy("size").agg(F.min("score").alias("least")).collect()}
+    return [chance + MARGIN * (least[size] - chance) if size in least else 0.0
+            for size in range(SIZES + 1)]
+
+
 def keep_known_language(docs: DataFrame, model: ByteConvNet, text: str = "text",
-                        min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows whose text has a letter and a language of at least ``min_score``.
+                        min_score: float = MIN_SCORE,
+                        limits: list[float] | None = None) -> DataFrame:
+    """The rows whose text has a letter and a language that is likely enough.
 
-    A model that knows no language rejects only texts without a letter.
+    That is the limit of its size class, or ``min_score`` without ``limits``. A model that
+    knows no language rejects only texts without a letter.
     """
     cache: list = []
 
@@ -222,8 +260,9 @@ def keep_known_language(docs: DataFrame, model: ByteConvNet, text: str = "text",
         if not model.languages:
             return [bool(t and _LETTER.search(t)) for t in texts]
         cache or cache.append(model.pairs())
-        return [lang != UNDETERMINED and score >= min_score
-                for lang, score in model.predict(texts, cache[0])]
+        return [lang != UNDETERMINED
+                and score >= (limits[size_class(t)] if limits else min_score)
+                for t, (lang, score) in zip(texts, model.predict(texts, cache[0]))]
 
     return filter_batches(docs, text, keep)
 
