@@ -41,9 +41,9 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def shingles(words: list[str]) -> list[tuple[str, ...]]:
+def shingles(words: list[str], length: int = SHINGLE) -> list[tuple[str, ...]]:
     """All shingles with repeats; of fewer words the whole sequence, of none nothing."""
-    size = min(SHINGLE, len(words))
+    size = min(length, len(words))
     return [tuple(words[i:i + size]) for i in range(len(words) - size + 1)] if size else []
 
 
@@ -133,8 +133,9 @@ class ItemIndex:
 
     def _search(self, words, size: int, low: int, high: int, found: dict) -> None:
         own = words[low:high + size]
-        parts = shingles(own)
-        width = max(1, min(size, len(own)) - SHINGLE + 1)
+        length = min(SHINGLE, size)
+        parts = shingles(own, length)
+        width = max(1, min(size, len(own)) - length + 1)
         sums = np.concatenate([np.zeros((1, BITS), np.int32), _votes(parts).cumsum(0)])
         votes = sums[width:] - sums[:-width]
         prints = _fingerprints(votes)
