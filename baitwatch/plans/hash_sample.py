@@ -17,12 +17,24 @@ def seeded_hash(seed, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def _depth(digest: Column) -> Column:
+def depth(digest: Column) -> Column:
     """Leading zero bits among the first 32, at most 31."""
     head = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
     return F.lit(32) - F.length(F.bin(head))
 
 
+def deepest(levels: DataFrame, n: int, groups: list[str]) -> DataFrame:
+    """``_cut`` of each group: the greatest depth with ``n`` rows at it and beyond it together.
+
+    ``levels`` holds ``depth, n`` for each group; one with fewer rows has no cut.
+    """
+    at_least = (
+        levels.select(*groups, F.explode(F.sequence(F.lit(0), "depth")).alias("depth"), "n")
+        .groupBy(*groups, "depth").agg(F.sum("n").alias("n"))
+    )
+    return at_least.filter(F.col("n") >= n).groupBy(*groups).agg(F.max("depth").alias("_cut"))
+
+
 def smallest_by_hash(
     rows: DataFrame, n: int, seed, key: str, group: str | None = None
 ) -> DataFrame:
@@ -33,19 +45,12 @@ def smallest_by_hash(
     """
     groups = [group] if group else []
     hashed = rows.withColumn("_hash", seeded_hash(seed, key))
-    levels = hashed.groupBy(*groups, _depth(F.col("_hash")).alias("depth")).agg(
-        F.count("*").alias("n"))
-    at_least = (
-        levels.select(*groups, F.explode(F.sequence(F.lit(0), "depth")).alias("depth"), "n")
-        .groupBy(*groups, "depth").agg(F.sum("n").alias("n"))
-    )
-    enough = at_least.filter(F.col("n") >= n)
-    depth = _depth(F.col("_hash"))
+    own = depth(F.col("_hash"))
+    cuts = deepest(
+        hashed.groupBy(*groups, own.alias("depth")).agg(F.count("*").alias("n")), n, groups)
     if not group:
-        cut = enough.select(F.max("depth")).scalar()
-        few = hashed.filter(depth >= F.coalesce(cut, F.lit(0)))
+        few = hashed.filter(own >= F.coalesce(cuts.scalar(), F.lit(0)))
         return few.orderBy("_hash", key).limit(n)
-    cuts = enough.groupBy(group).agg(F.max("depth").alias("_cut"))
-    few = hashed.join(cuts, group, "left").filter(depth >= F.coalesce("_cut", F.lit(0)))
+    few = hashed.join(cuts, group, "left").filter(own >= F.coalesce("_cut", F.lit(0)))
     place = F.row_number().over(Window.partitionBy(group).orderBy("_hash", key))
     return few.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place", "_cut")
