@@ -64,7 +64,7 @@ def threat_hits(
 ) -> DataFrame:
     """One row per mail and distinct listed link: ``key, url, threat, ord, message``."""
     hits = side_lookup(distinct_urls(mail, key, text), first_threats(threat_list), ["url"])
-    return hits.select(key, "url", "threat", "ord", _threat_message().alias("message"))
+    return hits.select(key, "url", "threat", "ord", threat_message().alias("message"))
 
 
 def age_in_days(created: Column, as_of: Column) -> Column:
@@ -92,7 +92,7 @@ def young_domains(domain_reg: DataFrame, as_of: str) -> DataFrame:
     return aged.filter(F.col("age_days") < NEW_DOMAIN_DAYS)
 
 
-def _threat_message() -> Column:
+def threat_message() -> Column:
     return fill(MESSAGES["safe_browsing"], url=F.col("url"), threat=F.col("threat"))
 
 
@@ -126,7 +126,7 @@ def check_links(
     listed = first_threats(threat_list).select(
         F.lit(0).alias("kind"), F.col("url").alias("value"), F.col("ord").cast("long"),
         F.lit(THREAT_POINTS).alias("points"),
-        finding("safe_browsing", "link_manipulation", _threat_message()).alias("finding"),
+        finding("safe_browsing", "link_manipulation", threat_message()).alias("finding"),
     )
     young = young_domains(domain_reg, as_of).select(
         F.lit(1).alias("kind"), F.col("domain").alias("value"),
