@@ -27,7 +27,7 @@ from baitwatch.operators.text_rules import (
     with_words,
 )
 from baitwatch.plans.once import exploded, once
-from baitwatch.registry import TEXT_CATEGORIES, TEXT_RULES
+from baitwatch.registry import CATEGORIES, TEXT_CATEGORIES, TEXT_RULES
 
 _GATES = ("credentials", "account_threat")
 
@@ -73,12 +73,8 @@ def long_findings(mail: DataFrame, text: str = "email_text") -> DataFrame:
     return rows.select("mail_id", (F.col("pos") + 1).alias("ord"), "f.*")
 
 
-def score_mail(mail: DataFrame, text: str = "email_text") -> DataFrame:
-    """Adds ``score`` and ``risk_level`` without building findings.
-
-    A category counts once, so its rules are tried until one fires and no match is
-    copied out of the text. Evaluation and calibration need nothing else.
-    """
+def _with_fired(mail: DataFrame, text: str) -> DataFrame:
+    """Adds whether each scoring category fires, in columns ``_c_`` of its key."""
     keep = mail.columns
     df = with_words(mail, text)
     t, folded = F.col(text), F.col(FOLDED)
@@ -100,11 +96,26 @@ def score_mail(mail: DataFrame, text: str = "email_text") -> DataFrame:
     df = df.withColumn("_lower", F.when(wanted, F.lower(t)))
     df = df.withColumn("_brand", mentioned_brand("_lower"))
     mismatch = brand_mismatch(F.col("_brand"), F.col("_links")).isNotNull()
-    df = df.withColumn("_c_link_manipulation", F.col("_own_link") | mismatch)
-    df = once(df, keep, score=score(lambda key: f"_c_{key}"))
+    return df.withColumn("_c_link_manipulation", F.col("_own_link") | mismatch)
+
+
+def score_mail(mail: DataFrame, text: str = "email_text") -> DataFrame:
+    """Adds ``score`` and ``risk_level`` without building findings.
+
+    A category counts once, so its rules are tried until one fires and no match is
+    copied out of the text. Evaluation and calibration need nothing else.
+    """
+    df = once(_with_fired(mail, text), mail.columns, score=score(lambda key: f"_c_{key}"))
     return df.withColumn("risk_level", risk_level(F.col("score")))
 
 
+def fired_categories(mail: DataFrame, keep: list[str], text: str = "email_text") -> DataFrame:
+    """``keep`` and ``mask``: a bit for each scoring category that fires, in registry order."""
+    bits = " + ".join(f"CASE WHEN _c_{c.key} THEN {1 << i}L ELSE 0L END"
+                      for i, c in enumerate(CATEGORIES) if c.weight)
+    return once(_with_fired(mail, text), keep, mask=F.expr(bits))
+
+
 def brand_mismatches(mail: DataFrame, text: str = "email_text") -> DataFrame:
     """``mail_id, message`` for mail whose links miss the brand that it names.
 

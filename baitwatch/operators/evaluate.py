@@ -6,14 +6,17 @@ sums before any shuffle. The text never leaves the scan stage.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from baitwatch.functions.text import ratio
-from baitwatch.operators.detect import score_mail
+from baitwatch.operators.detect import fired_categories, score_mail
 from baitwatch.operators.text_rules import rule_fires, with_words
 from baitwatch.operators.validate import normalize_label, predict
 from baitwatch.registry import (
+    CATEGORIES,
     DANGEROUS_FROM,
     MAX_THRESHOLD,
     PHISHING_CORPORA,
@@ -31,23 +34,33 @@ def score_labelled(mail: DataFrame, label: str = "label", text: str = "email_tex
     return score_mail(df, text)
 
 
+def mask_labelled(mail: DataFrame, label: str = "label", text: str = "email_text") -> DataFrame:
+    """``actual, mask`` of every mail: its class, and a bit for each category that fires."""
+    df = mail.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn("actual", normalize_label(F.col(label)))
+    return fired_categories(df, ["actual"], text)
+
+
 def _f1(precision: Column, recall: Column) -> Column:
     return ratio(F.lit(2) * precision * recall, precision + recall)
 
 
-def confusion_matrix(scored: DataFrame) -> DataFrame:
-    """One row of counts and ratios from ``actual`` and ``risk_level``."""
+def confusion_matrix(scored: DataFrame, rows: Column | None = None) -> DataFrame:
+    """One row of counts and ratios from ``actual`` and ``risk_level``.
+
+    ``rows`` says for how many mails a row stands, one by default.
+    """
     positive = F.col("actual") == "phishing"
     flagged = predict(F.col("risk_level")) == "phishing"
-    levels = [
-        F.count_if(F.col("risk_level") == level).alias(level.lower()) for level in RISK_LEVELS
-    ]
+    n = F.lit(1).cast("long") if rows is None else rows
+
+    def count(cond: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(cond, n).otherwise(0)), F.lit(0)).alias(name)
+
     df = scored.agg(
-        F.count_if(positive & flagged).alias("true_positive"),
-        F.count_if(~positive & flagged).alias("false_positive"),
-        F.count_if(~positive & ~flagged).alias("true_negative"),
-        F.count_if(positive & ~flagged).alias("false_negative"),
-        *levels,
+        count(positive & flagged, "true_positive"), count(~positive & flagged, "false_positive"),
+        count(~positive & ~flagged, "true_negative"), count(positive & ~flagged, "false_negative"),
+        *[count(F.col("risk_level") == level, level.lower()) for level in RISK_LEVELS],
     )
     tp, fp, tn, fn = (
         F.col(c)
@@ -78,7 +91,11 @@ def threshold_sweep(scored: DataFrame, highest: int = MAX_THRESHOLD) -> DataFram
     The mail is reduced to a score histogram first, at most 29 scores for two
     classes; the thresholds are applied to that.
     """
-    bars = scored.groupBy("score", "actual").agg(F.count("*").alias("n"))
+    return sweep_of(scored.groupBy("score", "actual").agg(F.count("*").alias("n")), highest)
+
+
+def sweep_of(bars: DataFrame, highest: int = MAX_THRESHOLD, *groups: str) -> DataFrame:
+    """``threshold_sweep`` from a histogram ``score, actual, n``, for each of ``groups``."""
     bars = bars.withColumn(
         "threshold", F.explode(F.sequence(F.lit(1), F.lit(highest)))
     )
@@ -88,21 +105,41 @@ def threshold_sweep(scored: DataFrame, highest: int = MAX_THRESHOLD) -> DataFram
     def count(cond: Column, name: str) -> Column:
         return F.sum(F.when(cond, F.col("n")).otherwise(0)).alias(name)
 
-    df = bars.groupBy("threshold").agg(
+    df = bars.groupBy(*groups, "threshold").agg(
         count(positive & hit, "tp"), count(positive & ~hit, "fn"),
         count(~positive & hit, "fp"), count(~positive & ~hit, "tn"),
     )
     tp, fn, fp, tn = (F.col(c) for c in ("tp", "fn", "fp", "tn"))
     df = df.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn)})
     return df.select(
-        "threshold", "precision", "recall",
+        *groups, "threshold", "precision", "recall",
         _f1(F.col("precision"), F.col("recall")).alias("f1_score"),
         ratio(tp + tn, tp + fn + fp + tn).alias("accuracy"),
         ratio(fp, fp + tn).alias("fp_rate"),
         F.when(F.col("threshold") == SUSPICIOUS_FROM, "suspicious")
         .when(F.col("threshold") == DANGEROUS_FROM, "dangerous")
         .otherwise("").alias("in_use"),
-    ).orderBy("threshold")
+    ).orderBy(*groups, "threshold")
+
+
+def category_ablation(masked: DataFrame, highest: int = MAX_THRESHOLD) -> DataFrame:
+    """The threshold sweep as it would be without one category, for each that scores.
+
+    ``masked(actual, mask)`` has the categories that fired as bits. A histogram over masks
+    tells the scores without any one of them, so the mail is read once for all sweeps.
+    """
+    weighted = [(i, c) for i, c in enumerate(CATEGORIES) if c.weight]
+    bars = masked.groupBy("actual", "mask").agg(F.count("*").alias("n"))
+
+    def score(without: int) -> Column:
+        return reduce(Column.__add__, [F.shiftright("mask", i).bitwiseAND(F.lit(1)) * c.weight
+                                       for i, c in weighted if i != without])
+
+    without = F.array(*[F.struct(F.lit(c.key).alias("without"), score(i).cast("int").alias("score"))
+                        for i, c in weighted])
+    bars = bars.select("actual", "n", F.inline(without))
+    bars = bars.groupBy("without", "score", "actual").agg(F.sum("n").alias("n"))
+    return sweep_of(bars, highest, "without")
 
 
 def rule_hit_rates(
