@@ -12,14 +12,14 @@ CORPUS_COLUMNS = ("label", "subject", "body")
 
 # Quotes are doubled inside quoted fields, fields may hold line breaks and be of any
 # length, and bytes that do not decode are replaced.
-_CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "maxCharsPerColumn": -1}
+CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "maxCharsPerColumn": -1}
 
 
 def _read(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    return spark.read.options(**_CSV, sep=sep).csv(path)
+    return spark.read.options(**CSV, sep=sep).csv(path)
 
 
-def _separator(path: str) -> str:
+def separator(path: str) -> str:
     if path.lower().endswith(".csv"):
         return ","
     if path.lower().endswith(".tsv"):
@@ -33,7 +33,7 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     A file with line breaks inside fields cannot be split, so land it as Parquet
     once before working on it at scale.
     """
-    df = _read(spark, path, _separator(path))
+    df = _read(spark, path, separator(path))
     missing = sorted(set(REQUIRED) - set(df.columns))
     if missing:
         name = path.rstrip("/").rsplit("/", 1)[-1]
@@ -45,7 +45,7 @@ def read_corpora(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """``source, label, subject, body`` of several corpora; absent columns are NULL."""
 
     def one(source: str, path: str) -> DataFrame:
-        df = _read(spark, path, _separator(path))
+        df = _read(spark, path, separator(path))
         columns = [
             F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)
             for c in CORPUS_COLUMNS
@@ -59,7 +59,7 @@ def write_labelled(df: DataFrame, path: str) -> DataFrame:
     """Writes the two columns as CSV and returns rows per label, read from the result."""
     df.select(*REQUIRED).write.options(header=True, quote='"', escape='"').csv(path)
     spark = df.sparkSession
-    written = spark.read.options(**_CSV).csv(path)
+    written = spark.read.options(**CSV).csv(path)
     return written.groupBy("label").agg(F.count("*").alias("n"))
 
 

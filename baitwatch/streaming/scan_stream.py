@@ -28,6 +28,19 @@ def stream_scan(
     return _append(new_scans(mail, when, feed, max_chars), out_path, checkpoint, trigger)
 
 
+def first_arrivals(
+    mail: DataFrame, sent: str, within: str, keys: tuple[str, ...] = ("mail_id",)
+) -> DataFrame:
+    """A stream without mail that is handed in again within a time of its first arrival.
+
+    The state holds a key of each mail until the watermark, ``within`` behind the latest
+    ``sent``, has passed it; no text is kept. A feed's number is unique there, so streams of
+    several feeds have both in ``keys``. Mail sent again later than that is stored again
+    under the id it had.
+    """
+    return mail.withWatermark(sent, within).dropDuplicatesWithinWatermark(list(keys))
+
+
 def stream_quarantine(
     mail: DataFrame, out_path: str, checkpoint: str, max_chars: int | None = None, trigger=None
 ) -> StreamingQuery:
