@@ -12,7 +12,21 @@ from pyspark.sql import functions as F
 
 from baitwatch import fixture as X
 from baitwatch.functions.text import minute
-from baitwatch.operators import corpus, enrich, evaluate, history, links, scans, sender, text_rules
+from baitwatch.operators import (
+    brand_registry,
+    corpus,
+    enrich,
+    evaluate,
+    history,
+    link_index,
+    links,
+    rollups,
+    scans,
+    search_index,
+    sender,
+    splits,
+    text_rules,
+)
 from baitwatch.operators.detect import (
     analyse_mail,
     brand_mismatches,
@@ -21,10 +35,17 @@ from baitwatch.operators.detect import (
 )
 from baitwatch.operators.validate import normalize_label, quarantined_mail, validate_mail
 from baitwatch.plans.session import work_folder
-from baitwatch.registry import CORPORA, MAX_MAIL_CHARS, TEXT_CATEGORIES, TEXT_RULES
-from baitwatch.sources.datasets import load_split, read_corpora, read_labelled, write_labelled
+from baitwatch.registry import CORPORA, MAX_MAIL_CHARS, MIXED_SEED, TEXT_CATEGORIES, TEXT_RULES
+from baitwatch.sources import damaged
+from baitwatch.sources.datasets import (
+    load_split,
+    read_corpora,
+    read_labelled,
+    write_labelled,
+    write_results,
+)
 from baitwatch.sources.exports import flat_export, nested_export
-from baitwatch.streaming.scan_stream import stream_link_check, stream_scan
+from baitwatch.streaming.scan_stream import first_arrivals, stream_link_check, stream_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,8 +118,128 @@ def _kinds(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.kind_recall(score_mail(pool))
 
 
+def _share(rows: DataFrame, part: int) -> int:
+    """One in ``part`` of the rows, so that samples of any table are samples."""
+    return max(1, rows.count() // part)
+
+
+def _sample(spark: SparkSession, sf: str) -> DataFrame:
+    raw = X.raw_corpus(spark, sf)
+    return corpus.mixed_sample(raw, n=_share(corpus.pool_labelled(raw), 4))
+
+
+def _merged_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """The same sample from the stored states of two corpora and of the three that follow."""
+    raw = X.raw_corpus(spark, sf)
+    n = _share(corpus.pool_labelled(raw), 4)
+    early = F.col("source").isin(*CORPORA[:2])
+    folder = work_folder(spark, "sample")
+    for i, files in enumerate((early, ~early)):
+        splits.sample_state(raw.filter(files), n, MIXED_SEED).write.parquet(f"{folder}/{i}")
+    states = [spark.read.parquet(f"{folder}/{i}") for i in range(2)]
+    return splits.merged_state(*states, n=n).drop("_hash")
+
+
 def _splits(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.focused_splits(X.raw_corpus(spark, sf), per_class=100)
+    raw = X.raw_corpus(spark, sf)
+    return corpus.focused_splits(raw, per_class=_share(corpus.pool_focused(raw), 8))
+
+
+def _copy_splits(spark: SparkSession, sf: str) -> DataFrame:
+    raw = X.raw_corpus(spark, sf)
+    return splits.copy_splits(raw, per_class=_share(corpus.pool_focused(raw), 8))
+
+
+def _write_results(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_folder(spark, "results")
+    write_results(evaluate.threshold_sweep(_labelled(X.mail(spark, sf))), path)
+    schema = ("threshold int, precision double, recall double, f1_score double, accuracy double, "
+              "fp_rate double, in_use string")
+    return spark.read.schema(schema).json(path)
+
+
+def _read_tsv(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled mail as a TSV file; line breaks and tabs stay inside quotes."""
+    path = work_folder(spark, "labelled") + ".tsv"
+    corpus.pool_labelled(X.raw_corpus(spark, sf)).select("label", "email_text").write.options(
+        header=True, sep="\t", quote='"', escape='"', quoteAll=True).csv(path)
+    return read_labelled(spark, path).select("label", "email_text")
+
+
+def _damaged_input(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled mail as lines of a file of which some miss a field or have one too many."""
+    path = work_folder(spark, "damaged") + ".csv"
+    pool, i = corpus.pool_labelled(X.raw_corpus(spark, sf)), F.col("row_id")
+    text = F.when(i % 10 == 5, F.concat("email_text", F.lit("\ufffd"))).otherwise(F.col("email_text"))
+    line = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.when(i % 10 == 3, F.col("label")).when(
+        i % 10 == 7, F.concat("label", F.lit(","), line, F.lit(",extra"))).otherwise(
+        F.concat("label", F.lit(","), line))
+    pool.select(line.alias("value")).write.text(path)
+    checked = damaged.read_checked(spark, path, ("label", "email_text"))
+    return checked.groupBy(F.coalesce("problem", F.lit("")).alias("problem")).agg(
+        F.count("*").alias("n"), F.sum(F.when(
+            F.col("problem").isNull(), F.length("email_text"))).alias("chars"))
+
+
+def _kept_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals after two batches of scans, deletions and a merge of link findings."""
+    path, table = work_folder(spark, "totals"), X.scans(spark, sf)
+    for batch, rows in enumerate((f"NOT ({X.SECOND_BATCH})", X.SECOND_BATCH)):
+        rollups.store_delta(rollups.append_delta(table.filter(rows)), path, batch)
+    requests = X.delete_requests(spark, sf)
+    rollups.store_delta(rollups.delete_delta(table, requests), path, 2)
+    left = scans.delete_scans(table, requests)
+    hits = _checks(spark, sf, enrich.link_check_queue(left), "id")
+    rollups.store_delta(rollups.link_delta(left, hits), path, 3)
+    return rollups.risk_totals_of(rollups.standing(spark, path))
+
+
+def _kept_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """The threshold sweep after mail was added, taken back and labelled anew."""
+    path = work_folder(spark, "sweep")
+    keys = ("mail_id", *rollups.LABELLED_KEYS)
+    scored, folder = _labelled(X.mail(spark, sf)).select(*keys), work_folder(spark, "scored")
+    scored.write.parquet(folder)
+    scored, i = spark.read.schema(scored.schema).parquet(folder), F.col("mail_id")
+    for batch, rows in enumerate((i % 4 != 1, i % 4 == 1)):
+        rollups.store_delta(rollups.append_delta(
+            scored.filter(rows), rollups.LABELLED_KEYS), path, batch)
+    gone = scored.filter(i % 5 == 2).select("mail_id")
+    rollups.store_delta(rollups.delete_delta(
+        scored, gone, rollups.LABELLED_KEYS, "mail_id"), path, 2)
+    other = F.when(F.col("actual") == "phishing", "legitimate").otherwise("phishing")
+    anew = scored.filter((i % 5 != 2) & (i % 7 == 3)).select("mail_id")
+    rollups.store_delta(rollups.change_delta(
+        scored, anew, {"actual": other}, rollups.LABELLED_KEYS, "mail_id"), path, 3)
+    return evaluate.sweep_of(rollups.standing(spark, path))
+
+
+def _indexed(spark: SparkSession, sf: str, query: str, literal: bool = False) -> DataFrame:
+    return _flat(search_index.indexed_search(spark, X.search_index(spark, sf), query, literal))
+
+
+def _late(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Threat entries that were known when mail was checked, and those that came later."""
+    entries = X.threat_list(spark, sf)
+    return entries.filter(f"NOT ({X.LATE_ENTRY})"), entries.filter(X.LATE_ENTRY)
+
+
+def _late_threats(spark: SparkSession, sf: str) -> DataFrame:
+    index = X.link_index(spark, sf)
+    known, late = _late(spark, sf)
+    hits = link_index.indexed_hits(index, known)
+    return link_index.merged_hits(hits, link_index.late_hits(index, known, late))
+
+
+def _merge_late(spark: SparkSession, sf: str) -> DataFrame:
+    known, late = _late(spark, sf)
+    table = X.scans(spark, sf)
+    hits = enrich.check_links(
+        enrich.link_check_queue(table), known, X.domain_reg(spark, sf), X.AS_OF, "id")
+    checked = scans.merge_link_findings(table, hits)
+    found = link_index.late_hits(X.link_index(spark, sf), known, late)
+    return _flat(link_index.merge_late_findings(checked, found), "id", "flags", "score", "risk_level")
 
 
 def _as_of():
@@ -155,8 +296,11 @@ def _nested(table: DataFrame) -> DataFrame:
     return nested_export(table).withColumn("findings", F.array_join(lines, "\n"))
 
 
-def _streamed_scans(spark: SparkSession, sf: str) -> str:
-    """Scans of the document table read as a stream; returns where they are."""
+def _streamed_scans(spark: SparkSession, sf: str, repeats: int = 1) -> str:
+    """Scans of the document table read as a stream; returns where they are.
+
+    With ``repeats`` every mail is handed in so many times, a minute apart.
+    """
     schema = X.table(spark, sf, "documents").schema
     documents = spark.readStream.schema(schema).option(
         "pathGlobFilter", "documents.parquet").parquet(sf)
@@ -164,14 +308,21 @@ def _streamed_scans(spark: SparkSession, sf: str) -> str:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     documents = documents.repartition(partitions, "doc_id")
     mail = X.mail_from(documents, X.table(spark, sf, "labels"), X.table(spark, sf, "pages"))
-    base = work_folder(spark, "stream")
+    base, mail = work_folder(spark, "stream"), mail.select("mail_id", "email_text")
+    if repeats > 1:
+        again = F.explode(F.sequence(F.lit(1), F.lit(repeats)))
+        sent = F.timestamp_seconds(F.unix_timestamp(F.lit(X.AS_OF)) + F.col("again") * 60)
+        mail = first_arrivals(mail.withColumn("again", again).withColumn("sent", sent), "sent", "1 hour")
     stream_scan(
-        mail.select("mail_id", "email_text"), f"{base}/scans", f"{base}/scan-state",
-        received_at=_as_of(),
+        mail, f"{base}/scans", f"{base}/scan-state", received_at=_as_of(),
     ).awaitTermination()
     return base
 
 
+def _stream_resubmitted(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(spark.read.parquet(f"{_streamed_scans(spark, sf, 2)}/scans"))
+
+
 def _stream_scan(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(spark.read.parquet(f"{_streamed_scans(spark, sf)}/scans"))
 
@@ -217,6 +368,10 @@ def queries() -> dict[str, Query]:
                 "=", e["key"], e["value"])), ","))),
         "risk_distribution": _on_mail(lambda m: evaluate.risk_distribution(_labelled(m))),
         "threshold_sweep": _on_mail(lambda m: evaluate.threshold_sweep(_labelled(m))),
+        "category_ablation": _on_mail(lambda m: evaluate.category_ablation(
+            evaluate.mask_labelled(m, "raw_label"))),
+        "kept_sweep": _kept_sweep,
+        "kept_totals": _kept_totals,
         "compose_mail": _on_corpus(corpus.compose_mail),
         "corpus_union": _on_corpus(corpus.pool_labelled),
         "focused_pool": _on_corpus(corpus.pool_focused),
@@ -224,9 +379,15 @@ def queries() -> dict[str, Query]:
         "read_labelled": _csv_round_trip,
         "load_split": _load_split,
         "read_corpora": _read_corpora,
-        "seeded_sample": _on_corpus(lambda c: corpus.mixed_sample(c, n=400)),
+        "read_tsv": _read_tsv,
+        "write_results": _write_results,
+        "damaged_input": _damaged_input,
+        "seeded_sample": _sample,
+        "merged_sample": _merged_sample,
         "focused_splits": lambda spark, sf: _splits(spark, sf).select("row_id", "label", "split"),
         "split_disjoint": lambda spark, sf: corpus.split_overlap(_splits(spark, sf)),
+        "copy_splits": lambda spark, sf: _copy_splits(spark, sf).select("row_id", "label", "split"),
+        "copies_in_both": lambda spark, sf: splits.copies_in_both(_copy_splits(spark, sf)),
         "rule_hit_rates": _on_corpus(lambda c: evaluate.rule_hit_rates(corpus.pool_focused(c))),
         "source_breakdown": _sources,
         "kind_recall": _kinds,
@@ -235,6 +396,8 @@ def queries() -> dict[str, Query]:
         "quarantined_mail": _on_mail(lambda m: quarantined_mail(m, MAX_MAIL_CHARS).select(
             "mail_id", F.length("email_text").alias("chars"), "error")),
         "history_search": _on_scans(lambda s: _flat(history.search_scans(s, " paypal%LOGIN "))),
+        "indexed_search": lambda spark, sf: _indexed(spark, sf, " paypal%LOGIN "),
+        "indexed_search_literal": lambda spark, sf: _indexed(spark, sf, "100%_List", literal=True),
         "history_risk": _on_scans(lambda s: _flat(history.filter_risk(s, "Suspicious"))),
         "scan_detail": _on_scans(lambda s: _flat(history.scan_by_id(s, 42))),
         "history_page": _on_scans(lambda s: _flat(
@@ -247,6 +410,10 @@ def queries() -> dict[str, Query]:
         "append_scans": _append,
         "threat_join": lambda spark, sf: enrich.threat_hits(
             X.mail(spark, sf), X.threat_list(spark, sf)),
+        "late_threats": _late_threats,
+        "merge_late_threats": _merge_late,
+        "registry_spoofing": lambda spark, sf: brand_registry.registry_spoofs(
+            X.mail(spark, sf), X.brand_registry(spark, sf)),
         "domain_cap": _on_mail(enrich.capped_domains),
         "domain_age": lambda spark, sf: enrich.new_domain_hits(
             X.mail(spark, sf), X.domain_reg(spark, sf), X.AS_OF),
@@ -264,5 +431,6 @@ def queries() -> dict[str, Query]:
         "evolve_schema": _evolve,
         "legacy_findings": _legacy,
         "stream_scan": _stream_scan,
+        "stream_resubmitted": _stream_resubmitted,
         "stream_link_check": _stream_link_check,
     }

@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from baitwatch.functions.text import sql_array
+from baitwatch.functions.urls import plain_letters
 from baitwatch.operators.detect import analyse_mail
+from baitwatch.operators.link_index import add_links
+from baitwatch.operators.search_index import add_to_index
 from baitwatch.operators.validate import valid_mail
 from baitwatch.plans.scan_store import store_scans
 from baitwatch.plans.session import work_folder
 from baitwatch.plans.spread import spread
-from baitwatch.registry import CORPORA
+from baitwatch.registry import BRAND_DOMAINS, CORPORA
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -243,18 +246,66 @@ def domain_reg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_stored: dict[tuple[str, str], str] = {}
+#: Threat entries that arrive after the mail was checked.
+LATE_ENTRY = "ord % 5 = 2"
+#: Scans of the second of two batches.
+SECOND_BATCH = "id % 3 = 0"
 
+_stored: dict[tuple[str, str, str], str] = {}
 
-def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scan table, written once per application as a stored table would be."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+
+def _once(spark: SparkSession, sf_dir: str, what: str, write) -> str:
+    """Name of a table that ``write(name, path)`` stores once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
     if key not in _stored:
-        path = work_folder(spark, "scans")
+        path = work_folder(spark, what)
         name = path.rsplit("/", 1)[-1].replace("-", "_")
-        store_scans(scored_scans(spark, sf_dir), name, path)
+        write(name, path)
         _stored[key] = name
-    return spark.table(_stored[key])
+    return _stored[key]
+
+
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan table, written once per application as a stored table would be."""
+    return spark.table(_once(spark, sf_dir, "scans", lambda name, path: store_scans(
+        scored_scans(spark, sf_dir), name, path)))
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> str:
+    """Name of a search index over all scans, filled by two batches."""
+
+    def write(name: str, path: str) -> None:
+        for batch in (f"NOT ({SECOND_BATCH})", SECOND_BATCH):
+            add_to_index(scans(spark, sf_dir).filter(batch), name, path)
+
+    return _once(spark, sf_dir, "search", write)
+
+
+def link_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of all scans by ``id``, filled by two batches."""
+
+    def write(name: str, path: str) -> None:
+        for batch in (f"NOT ({SECOND_BATCH})", SECOND_BATCH):
+            add_links(scans(spark, sf_dir).filter(batch), name, path)
+
+    return spark.table(_once(spark, sf_dir, "links", write))
+
+
+def brand_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``brand_registry(ord, brand, title, official)``: the fixed brands and one per document,
+    half of which own the domain of their name."""
+    fixed = [(i, b, b.title(), list(d)) for i, (b, d) in enumerate(BRAND_DOMAINS.items())]
+    schema = "ord long, brand string, title string, official array<string>"
+    d = F.col("doc_id")
+    name = F.concat(F.lit("webmail-upgrade"), d.cast("string"))
+    official = F.when(d % 2 == 0, F.array(F.concat(name, F.lit(".xyz")))).otherwise(
+        F.array().cast("array<string>"))
+    brand = plain_letters(name)
+    own = table(spark, sf_dir, "documents").select(
+        (d + 100).alias("ord"), brand.alias("brand"), F.concat(
+            F.upper(F.substring(brand, 1, 1)), F.substring(brand, 2, 100)).alias("title"),
+        official.alias("official"))
+    return spark.createDataFrame(fixed, schema).unionByName(own)
 
 
 def scored_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from baitwatch import fixture as X
 from baitwatch import registry as R
 from baitwatch.operators.scans import FEED_SPAN
+from baitwatch.operators.splits import COPY_NOISE
 
 
 def q(value) -> str:
@@ -465,37 +466,88 @@ SELECT *, array_to_string(list_filter([
   {ratio('2 * "precision" * recall', '"precision" + recall')} AS f1_score FROM r"""
     out["risk_distribution"] = labelled + (
         "SELECT risk_level, count(*) AS mails FROM e GROUP BY risk_level")
-    out["threshold_sweep"] = labelled.rstrip() + f""", c AS (
-  SELECT t::INT AS threshold, count_if({p} AND score >= t) AS tp, count_if({p} AND score < t) AS fn,
+
+    def sweep(ctes: str, bars: str, group: str = "") -> str:
+        """Quality of every threshold over ``bars`` with columns ``actual, score``."""
+        return ctes.rstrip() + f""", c AS (
+  SELECT {group} t::INT AS threshold, count_if({p} AND score >= t) AS tp, count_if({p} AND score < t) AS fn,
     count_if(NOT {p} AND score >= t) AS fp, count_if(NOT {p} AND score < t) AS tn
-  FROM e, range(1, {R.MAX_THRESHOLD + 1}) x(t) GROUP BY t),
+  FROM {bars}, range(1, {R.MAX_THRESHOLD + 1}) x(t) GROUP BY {group} t),
 r AS (SELECT *, {ratio('tp', 'tp + fp')} AS "precision", {ratio('tp', 'tp + fn')} AS recall FROM c)
-SELECT threshold, "precision", recall,
+SELECT {group} threshold, "precision", recall,
   {ratio('2 * "precision" * recall', '"precision" + recall')} AS f1_score,
   {ratio('tp + tn', 'tp + fn + fp + tn')} AS accuracy, {ratio('fp', 'fp + tn')} AS fp_rate,
   CASE threshold WHEN 3 THEN 'suspicious' WHEN 6 THEN 'dangerous' ELSE '' END AS in_use FROM r"""
 
+    out["threshold_sweep"] = sweep(labelled, "e")
+    flipped = f"CASE WHEN mail_id % 7 <> 3 THEN actual WHEN {p} THEN 'legitimate' ELSE 'phishing' END"
+    out["kept_sweep"] = sweep(labelled.rstrip() + (
+        f", judged AS (SELECT score, {flipped} AS actual FROM e WHERE mail_id % 5 <> 2)"), "judged")
+    out["category_ablation"] = sweep(labelled.rstrip() + """,
+partial AS (
+  SELECT e.mail_id, e.actual, w.category AS without, coalesce(sum(c.weight), 0) AS score
+  FROM e CROSS JOIN (SELECT category FROM category WHERE weight > 0) w
+  LEFT JOIN (SELECT DISTINCT mail_id, category FROM findings) f
+    ON f.mail_id = e.mail_id AND f.category <> w.category
+  LEFT JOIN category c ON c.category = f.category GROUP BY ALL)""", "partial", "without,")
+    out["write_results"] = out["threshold_sweep"]
+
     # corpora
     out["compose_mail"] = with_(CORPUS) + "SELECT row_id, source, label, email_text FROM composed"
     out["corpus_union"] = with_(CORPUS) + "SELECT row_id, source, label, email_text FROM labelled"
     out["focused_pool"] = with_(CORPUS) + "SELECT row_id, source, label, email_text FROM focused"
     out["label_counts"] = with_(CORPUS) + "SELECT label, count(*) AS n FROM labelled GROUP BY label"
     out["read_labelled"] = with_(CORPUS) + "SELECT label, email_text FROM labelled"
+    out["damaged_input"] = with_(CORPUS) + (
+        "SELECT problem, count(*) AS n, sum(CASE WHEN problem = '' THEN length(email_text) END)::BIGINT "
+        "AS chars FROM (SELECT email_text, CASE WHEN row_id % 10 IN (3, 7) THEN 'ragged' "
+        "WHEN row_id % 10 = 5 THEN 'undecodable' ELSE '' END AS problem FROM labelled) GROUP BY problem")
+    out["read_tsv"] = out["read_labelled"]
     out["load_split"] = out["read_labelled"] + " WHERE label = 'phishing'"
     out["read_corpora"] = with_(CORPUS) + "SELECT source, label, subject, body FROM raw_corpus"
     out["seeded_sample"] = with_(CORPUS) + (
         "SELECT row_id, source, label, email_text FROM labelled "
-        f"ORDER BY md5('{R.MIXED_SEED}:' || row_id), row_id LIMIT 400")
+        f"ORDER BY md5('{R.MIXED_SEED}:' || row_id), row_id "
+        "LIMIT (SELECT count(*) // 4 FROM labelled)")
+    out["merged_sample"] = out["seeded_sample"]
     splits = with_(CORPUS).rstrip() + (
-        ", splits AS (SELECT row_id, label, CASE WHEN n <= 100 THEN 'tuning' ELSE 'holdout' END AS "
+        ", target AS (SELECT count(*) // 8 AS size FROM focused), "
+        "splits AS (SELECT row_id, label, CASE WHEN n <= size THEN 'tuning' ELSE 'holdout' END AS "
         "split FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY "
-        f"md5('{R.SPLIT_SEED}:' || row_id), row_id) AS n FROM focused) WHERE n <= 200) ")
+        f"md5('{R.SPLIT_SEED}:' || row_id), row_id) AS n FROM focused), target WHERE n <= 2 * size) ")
     out["focused_splits"] = splits + "SELECT row_id, label, split FROM splits"
     out["split_disjoint"] = splits + (
         "SELECT count_if(split = 'tuning')::BIGINT AS tuning_rows, "
         "count_if(split = 'holdout')::BIGINT AS holdout_rows, (SELECT count(*) FROM "
         "(SELECT row_id FROM splits WHERE split = 'tuning' INTERSECT "
         "SELECT row_id FROM splits WHERE split = 'holdout')) AS shared_rows FROM splits")
+    copies = with_(CORPUS).rstrip() + f""",
+target AS (SELECT count(*) // 8 AS size FROM focused),
+copied AS (SELECT *, md5(regexp_replace(email_text, {q(COPY_NOISE)}, '', 'g')) AS copy FROM focused),
+classes AS (
+  SELECT copy, min(label) AS label, count(*) AS n FROM copied
+  GROUP BY copy HAVING count(DISTINCT label) = 1),
+placed AS (
+  SELECT copy, label, n, size, sum(n) OVER (PARTITION BY label ORDER BY
+    md5('{R.SPLIT_SEED}:' || copy), copy ROWS UNBOUNDED PRECEDING) - n AS before
+  FROM classes, target WHERE n <= size),
+drawn AS (
+  SELECT copy, CASE WHEN before < size THEN 'tuning' WHEN before - used < size THEN 'holdout' END
+    AS split
+  FROM (SELECT *, max(CASE WHEN before < size THEN before + n END) OVER (PARTITION BY label)
+        AS used FROM placed)),
+splits AS (
+  SELECT row_id, label, split, copy FROM copied JOIN drawn USING (copy) WHERE split IS NOT NULL)
+"""
+    out["copy_splits"] = copies + "SELECT row_id, label, split FROM splits"
+    out["copies_in_both"] = copies + (
+        "SELECT label, count_if(split = 'tuning')::BIGINT AS tuning_rows, "
+        "count_if(split = 'holdout')::BIGINT AS holdout_rows, "
+        "count(DISTINCT CASE WHEN split = 'tuning' THEN copy END) AS tuning_texts, "
+        "count(DISTINCT CASE WHEN split = 'holdout' THEN copy END) AS holdout_texts, "
+        "count(DISTINCT copy) FILTER (copy IN (SELECT copy FROM splits WHERE split = 'tuning') AND "
+        "copy IN (SELECT copy FROM splits WHERE split = 'holdout')) AS shared_texts "
+        "FROM splits GROUP BY label")
     rated = with_(CORPUS).rstrip() + (
         ", src AS (SELECT row_id AS mail_id, label, email_text FROM focused)"
         + text_rules("src"))
@@ -537,6 +589,10 @@ SELECT *, CASE WHEN legitimate_pct = 0 THEN 'Infinity'::DOUBLE
     out["history_search"] = s + (
         f"SELECT {SCAN_VIEW} FROM scans WHERE email_text ILIKE '%paypal%LOGIN%' OR note ILIKE "
         "'%paypal%LOGIN%' OR flags ILIKE '%paypal%LOGIN%'")
+    out["indexed_search"] = out["history_search"]
+    listed = "ILIKE '%100\\%\\_list%' ESCAPE '\\'"
+    out["indexed_search_literal"] = s + (
+        f"SELECT {SCAN_VIEW} FROM scans WHERE email_text {listed} OR note {listed} OR flags {listed}")
     out["history_risk"] = s + f"SELECT {SCAN_VIEW} FROM scans WHERE risk_level = 'Suspicious'"
     out["scan_detail"] = s + f"SELECT {SCAN_VIEW} FROM scans WHERE id = 42"
     out["history_page"] = s + (
@@ -580,6 +636,28 @@ SELECT *, CASE WHEN legitimate_pct = 0 THEN 'Infinity'::DOUBLE
         "mail_id % 6 = 0 AS network_checked FROM scored a")
     on_mail = with_(MAIL, ", ", THREATS.strip(), urls("mail"), checks("mail"))
     out["threat_join"] = on_mail + "SELECT mail_id, url, threat, ord, message FROM threat_hits"
+    valid_links = with_(VALID, ", ", THREATS.strip(), urls("valid"), checks("valid"))
+    out["late_threats"] = valid_links + (
+        "SELECT mail_id + 1 AS id, url, threat, ord, message FROM threat_hits")
+    registry = values((str(i), q(b), q(b.title()), "[" + ", ".join(map(q, d)) + "]")
+                      for i, (b, d) in enumerate(R.BRAND_DOMAINS.items()))
+    letters = f"{q(''.join(_PLAIN))}, {q(''.join(_PLAIN.values()))}"
+    out["registry_spoofing"] = with_(MAIL, urls("mail")) + f""",
+registry(ord, brand, title, official) AS (
+  VALUES {registry}
+  UNION ALL SELECT doc_id + 100, b, upper(b[1]) || b[2:],
+    CASE WHEN doc_id % 2 = 0 THEN ['webmail-upgrade' || doc_id || '.xyz'] ELSE [] END
+  FROM (SELECT doc_id, translate('webmail-upgrade' || doc_id, {letters}) AS b FROM documents)),
+named AS (
+  SELECT DISTINCT mail_id, host, root, translate(split_part(root, '.', 1), {letters}) AS plain
+  FROM url_facts)
+SELECT mail_id, host, ord, CASE
+    WHEN contains(host, brand) THEN {fill(R.MESSAGES['brand_in_host'], host='host', brand='title')}
+    WHEN plain = brand THEN {fill(R.MESSAGES['misspelled'], root='root', brand='title')}
+    ELSE {fill(R.MESSAGES['typo_squat'], root='root', brand='title')} END AS message
+FROM named JOIN registry ON contains(host, brand) OR plain = brand
+  OR (length(brand) >= 5 AND abs(length(brand) - length(plain)) < 2 AND levenshtein(plain, brand) = 1)
+WHERE NOT list_contains(official, root)"""
     out["domain_cap"] = on_mail + f"SELECT mail_id, pos, domain FROM domains WHERE pos <= {R.DOMAINS_PER_MAIL}"
     out["domain_age"] = on_mail + "SELECT mail_id, pos, domain, age_days, message FROM new_domains"
     out["check_links"] = on_mail + "SELECT mail_id, messages, points FROM link_checks"
@@ -595,6 +673,32 @@ SELECT *, CASE WHEN legitimate_pct = 0 THEN 'Infinity'::DOUBLE
 
     out["merge_link_findings"] = merged("scans", "note", MINUTE, SCANS)
     out["merge_legacy"] = out["merge_link_findings"]
+    out["kept_totals"] = with_(VALID, ON_VALID, SCANS, ", ", THREATS.strip(), checks("valid")) + f""",
+left_over AS (
+  SELECT CASE WHEN network_checked THEN score ELSE score + coalesce(points, 0) END AS score
+  FROM scans LEFT JOIN link_checks USING (mail_id) WHERE id NOT IN (SELECT doc_id * 3 FROM documents))
+SELECT coalesce(risk_level, 'all') AS risk_level, count(*) AS scans
+FROM (SELECT {level("score")} AS risk_level FROM left_over) GROUP BY ROLLUP (risk_level)"""
+    # Entries known at the time of the check give its findings their places; late ones change
+    # what these say, and add findings for links that were not listed.
+    out["merge_late_threats"] = with_(
+        VALID, ON_VALID, SCANS, ", ", THREATS.strip(), checks("valid")) + f""",
+early AS (
+  SELECT url, min(ord) AS ord FROM threat_list
+  WHERE url <> '' AND NOT ({X.LATE_ENTRY}) GROUP BY url),
+notes AS (
+  SELECT mail_id, CASE WHEN e.url IS NULL THEN 2 ELSE 0 END AS kind, coalesce(e.ord, h.ord) AS ord,
+    message, {R.THREAT_POINTS} AS points FROM threat_hits h LEFT JOIN early e USING (url)
+  UNION ALL SELECT mail_id, 1, pos, message, {R.NEW_DOMAIN_POINTS} FROM new_domains),
+due AS (
+  SELECT mail_id, string_agg(message, chr(10) ORDER BY kind, notes.ord) AS messages,
+    sum(points)::INT AS points
+  FROM notes JOIN scans USING (mail_id) WHERE kind = 2 OR NOT network_checked GROUP BY mail_id)
+SELECT id, CASE WHEN points IS NULL THEN flags WHEN flags = '' THEN messages
+    ELSE flags || chr(10) || messages END AS flags,
+  (score + coalesce(points, 0))::INT AS score,
+  {level("score + coalesce(points, 0)")} AS risk_level
+FROM scans LEFT JOIN due USING (mail_id)"""
     edits = (", edits AS (SELECT (doc_id * 2 // 3) * 2 AS id, doc_id AS seq, CASE doc_id % 4 WHEN 0 "
              "THEN '' WHEN 1 THEN 'seen by ' || doc_id WHEN 2 THEN repeat('n', 2001) ELSE "
              "repeat('m', 2000) END AS note FROM documents)")
@@ -629,6 +733,7 @@ FROM scans s"""
     out["stream_scan"] = with_(VALID, ON_VALID) + (
         f"SELECT mail_id + 1 + {FEED_SPAN} AS id, email_text, flags, score, risk_level, '' AS note, "
         "'2024-02-01 00:00' AS created_at, false AS network_checked FROM scored")
+    out["stream_resubmitted"] = out["stream_scan"]
     arrived = (f", arrived AS (SELECT mail_id + 1 + {FEED_SPAN} AS id, mail_id, email_text, flags, score, risk_level, "
                "false AS network_checked FROM scored)")
     out["stream_link_check"] = merged("arrived", "''", "'2024-02-01 00:00'", arrived)
