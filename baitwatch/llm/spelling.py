@@ -32,17 +32,16 @@ MIN_CHARS, MIN_COUNT = 7, 2
 FORM_RATIO = 10
 #: Larger groups are dealt to the halves of their span.
 GROUP = 1_000
+#: Longer lists inside a task are dealt in the same way.
+SHORT = 24
 NEAR = "word string, n_near long, form string, form_n long"
-_RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _LAST = chr(0x10FFFF)
 _FAR = 2
 _KEY = ["size", "first", "end", "fixed"]
 
 
-def struck(key: str | None, run: str, strike: int = STRIKE) -> str:
+def struck(chosen: int, run: str, strike: int = STRIKE) -> str:
     """The run without the letter that the hash of document and run picks, if it picks one."""
-    chosen = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
     if chosen % strike:
         return run
     at = chosen % len(run)
@@ -57,17 +56,19 @@ def vocabulary(docs: DataFrame, key: str = "doc_id", text: str = "text", strike:
     struck out. Null and empty texts have no words, a null id hashes as an empty one,
     and repeated rows count again.
     """
+    # A shorter run never makes a word, and a longer one matches as a whole.
+    runs = re.compile(f"[a-zÀ-ÿ]{{{min_chars},}}")
 
     def count(batch: pa.RecordBatch):
         keys, texts = (c.to_pylist() for c in batch.columns)
         for part in slices(texts):
             words: Counter[str] = Counter()
             for i in part:
-                own: Counter[str] = Counter()
-                for run, n in Counter(_RUN.findall(texts[i] or "")).items():
-                    own[run.translate(_LOWER)] += n
-                for run, n in own.items():
-                    word = struck(keys[i], run, strike)
+                start = zlib.crc32(f"{'' if keys[i] is None else keys[i]}:".encode())
+                # Of bytes only the ASCII letters change their case.
+                lower = (texts[i] or "").encode().lower().decode()
+                for run, n in Counter(runs.findall(lower)).items():
+                    word = struck(zlib.crc32(run.encode(), start), run, strike)
                     if len(word) >= min_chars:
                         words[word] += n
             yield {"word": list(words), "n": list(words.values())}
@@ -133,33 +134,39 @@ def scan(words: list[str], lcp: list[int], query: str) -> list[int]:
     ``rows[i]`` holds the distances of the first ``i`` letters of a word to the first
     ``i - 1``, ``i`` and ``i + 1`` letters of the query; others lie outside the band.
     """
-    size, found = len(query), []
+    size, n, found = len(query), len(words), []
+    padded = f"\0{query}\0\0"
     rows = [(_FAR, 0, 1)]
     at = kept = 0
-    while at < len(words):
+    while at < n:
         word = words[at]
         del rows[kept + 1:]
-        low, same, high = rows[-1]
+        low, same, high = rows[kept]
         depth = kept
         for letter in word[kept:]:
-            below = min(same + 1, low + (depth == 0 or depth > size or letter != query[depth - 1]))
-            equal = min(same + (depth >= size or letter != query[depth]), high + 1, below + 1)
-            above = min(high + (depth + 1 >= size or letter != query[depth + 1]), equal + 1)
-            low, same, high = below, equal, above
+            below = low if letter == padded[depth] else low + 1
+            if same < below:
+                below = same + 1
+            equal = same if letter == padded[depth + 1] else same + 1
+            if below < equal:
+                equal = below + 1
+            if high < equal:
+                equal = high + 1
+            above = high if letter == padded[depth + 2] else high + 1
+            high = equal + 1 if equal < above else above
+            low, same = below, equal
             depth += 1
             rows.append((low, same, high))
-            if low >= _FAR and same >= _FAR and high >= _FAR:
+            if low > 1 and same > 1 and high > 1:
                 break
-        if low >= _FAR and same >= _FAR and high >= _FAR:
-            after = at + 1
-            if after < len(words) and lcp[after] >= depth:
-                after = bisect_left(words, word[:depth] + _LAST, after)
-            at = after
-        else:
-            if (same if len(word) == size else low) == 1 and depth == len(word):
-                found.append(at)
-            at += 1
-        kept = min(lcp[at], len(rows) - 1) if at < len(words) else 0
+        at += 1
+        if low > 1 and same > 1 and high > 1:
+            if at < n and lcp[at] >= depth:
+                at = bisect_left(words, word[:depth] + _LAST, at)
+        elif (same if len(word) == size else low) == 1:
+            found.append(at - 1)
+        if at < n:
+            kept = lcp[at] if lcp[at] < depth else depth
     return found
 
 
@@ -176,27 +183,51 @@ def _shared(words: list[str]) -> list[int]:
     return lcp
 
 
-def near_in_group(size: int, first: int, end: int, fixed: str, opens: list[str],
-                  counts: list[int]) -> Iterator[tuple[str, int, str, int]]:
+def _spans(size: int, first: int, end: int, fixed: str,
+           members: list[tuple[str, int]]) -> Iterator[tuple[int, int, str, list]]:
+    """``first, end, fixed, members`` of a group, or of the halves of its span and so on until
+    lists are short, where scanning them costs less than dealing them further."""
+    if len(members) <= SHORT or end - first < 2:
+        yield first, end, fixed, members
+        return
+    middle = (first + end) // 2
+    for low, high in ((first, middle), (middle, end)):
+        parts: dict[str, list[tuple[str, int]]] = {}
+        for open_, n in members:
+            word = fixed[:first] + open_ + fixed[first:]
+            rest = len(word) - (size - high)
+            parts.setdefault(word[:low] + word[rest:], []).append((word[low:rest], n))
+        for own, some in parts.items():
+            if len(some) > 1:
+                yield from _spans(size, low, high, own, sorted(some))
+
+
+def near_in_group(size: int, first: int, end: int, fixed: str,
+                  members: list[tuple[str, int]]) -> Iterator[tuple[str, int, str, int]]:
     """``word, n_near, form, form_n`` of the words of a group that have near words in it; the
-    form is the most frequent one, the first of equally frequent ones."""
-    lcp = _shared(opens)
-    near: list[list[int]] = [[] for _ in opens]
-    for i, query in enumerate(opens):
-        if len(query) == end - first:
-            for j in scan(opens, lcp, query):
-                longer = len(opens[j]) > len(query)
-                # Behind the span the first difference of such a pair lies in a later span.
-                if not (longer and end < size and opens[j].startswith(query)):
-                    near[i].append(j)
-                    if longer:
-                        near[j].append(i)
-    before, after = fixed[:first], fixed[first:]
-    for i, others in enumerate(near):
-        if others:
-            best = min(others, key=lambda j: (-counts[j], opens[j]))
-            yield (before + opens[i] + after, len(others), before + opens[best] + after,
-                   counts[best])
+    form is the most frequent one, the first of equally frequent ones.
+
+    ``members`` are what lies in the span and the counts, in order.
+    """
+    for low, high, own, some in _spans(size, first, end, fixed, members):
+        opens = [open_ for open_, _ in some]
+        lcp = _shared(opens)
+        near: list[list[int]] = [[] for _ in opens]
+        for i, query in enumerate(opens):
+            if len(query) == high - low:
+                for j in scan(opens, lcp, query):
+                    longer = len(opens[j]) > len(query)
+                    # Behind the span the first difference of such a pair is in a later span.
+                    if not (longer and high < size and opens[j].startswith(query)):
+                        near[i].append(j)
+                        if longer:
+                            near[j].append(i)
+        before, after = own[:low], own[low:]
+        for i, others in enumerate(near):
+            if others:
+                best = min(others, key=lambda j: (-some[j][1], opens[j]))
+                yield (before + opens[i] + after, len(others), before + opens[best] + after,
+                       some[best][1])
 
 
 def near_words(words: DataFrame, min_chars: int = MIN_CHARS, group: int = GROUP) -> DataFrame:
@@ -204,27 +235,32 @@ def near_words(words: DataFrame, min_chars: int = MIN_CHARS, group: int = GROUP)
     which it has near words."""
     members = written(_members(words, min_chars), "members")
     members = _narrowed(members, group)
-    rows = members.repartition(*_KEY).sortWithinPartitions(*_KEY, "open")
+    # One column to compare; digits end where the letters of a word begin.
+    key = F.concat_ws(" ", *_KEY)
+    rows = members.select(key.alias("key"), "open", "n").repartition("key")
+    rows = rows.sortWithinPartitions("key", "open")
     types = _arrow_schema(NEAR)
 
+    def near(key: str, members: list) -> Iterator[tuple]:
+        size, first, end, fixed = key.split(" ", 3)
+        return near_in_group(int(size), int(first), int(end), fixed, members)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, opens, counts = None, [], []
+        key, members = None, []
         for batch in batches:
             found = []
-            *keys, own, ns = (c.to_pylist() for c in batch.columns)
-            for *at, open_, n in zip(*keys, own, ns):
-                if at != key:
-                    if len(opens) > 1:
-                        found += near_in_group(*key, opens, counts)
-                    key, opens, counts = at, [], []
-                opens.append(open_)
-                counts.append(n)
+            for own, open_, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != key:
+                    if len(members) > 1:
+                        found += near(key, members)
+                    key, members = own, []
+                members.append((open_, n))
             if found:
                 yield _batch(found, types)
-        if len(opens) > 1 and (found := list(near_in_group(*key, opens, counts))):
+        if len(members) > 1 and (found := list(near(key, members))):
             yield _batch(found, types)
 
-    return rows.select(*_KEY, "open", "n").mapInArrow(run, NEAR)
+    return rows.mapInArrow(run, NEAR)
 
 
 def _batch(rows: list[tuple], types: pa.Schema) -> pa.RecordBatch:
