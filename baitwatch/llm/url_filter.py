@@ -137,15 +137,17 @@ def page_entries(pages: DataFrame) -> DataFrame:
     patterns = pages.select(F.inline(url_patterns(F.col("url")))).distinct()
     number = F.conv(F.substring(F.md5("pattern"), 1, 8), 16, 10).cast("long")
     patterns = patterns.withColumn("number", number)
-    found = None
-    for name, kind, modulus, rest, action, base, factor, days in _EVENTS:
-        chosen = patterns.filter((F.col("kind") == kind) & (F.col("number") % modulus == rest))
+
+    def event(name, kind, modulus, rest, action, base, factor, days):
         day = F.lit(base) + F.floor(F.col("number") / 64) * factor % days
-        event = chosen.select(
-            F.lit(name).alias("list_name"), "kind", "pattern", F.lit(action).alias("action"),
-            F.timestamp_seconds(F.unix_timestamp(F.lit(_START)) + day * 86_400).alias("at"))
-        found = event if found is None else found.unionByName(event)
-    return found
+        chosen = (F.col("kind") == kind) & (F.col("number") % modulus == rest)
+        return F.when(chosen, F.struct(
+            F.lit(name).alias("list_name"), F.lit(action).alias("action"),
+            F.timestamp_seconds(F.unix_timestamp(F.lit(_START)) + day * 86_400).alias("at")))
+
+    events = F.array_compact(F.array(*[event(*e) for e in _EVENTS]))
+    return patterns.select("kind", "pattern", F.inline(events)).select(
+        "list_name", "kind", "pattern", "action", "at")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
