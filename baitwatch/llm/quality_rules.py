@@ -24,7 +24,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 MIN_CONTENT = 0.5
 #: At most so many labelled rows are learned from, by at most so many lines of each.
-SAMPLE_ROWS, SAMPLE_LINES = 2_500, 32
+SAMPLE_ROWS, SAMPLE_LINES, SAMPLE_RUN = 2_500, 32, 8
 ROUNDS, STEPS, RATE, DECAY = 3, 50, 0.1, 1e-4
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
@@ -153,7 +153,6 @@ class LineCrf:
 
     def train(self, texts: list[list[tuple[int, ...]]], good: list[bool]) -> None:
         """Labels lines of good texts content, the others by the model, and fits it anew."""
-        texts = [t[:SAMPLE_LINES] for t in texts]
         labels = self._first_labels(texts, good)
         for _ in range(ROUNDS):
             self._fit(texts, labels)
@@ -228,12 +227,22 @@ def _marginals(emit: np.ndarray, follows: np.ndarray, mask: np.ndarray):
     return chance, joint[mask[:, 1:]].sum(0)
 
 
+def spread_lines(lines: list, limit: int = SAMPLE_LINES, run: int = SAMPLE_RUN) -> list:
+    """At most ``limit`` lines of a text, in runs that are spread from its start to its end."""
+    if len(lines) <= limit:
+        return lines
+    last = limit // run - 1
+    starts = [(len(lines) - run) * i // last for i in range(last + 1)]
+    return [line for start in starts for line in lines[start:start + run]]
+
+
 def train_line_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
                      quality: str = "quality", sample_rows: int = SAMPLE_ROWS) -> LineCrf:
     """A model from a bounded sample of labelled rows; of several labels the lowest counts.
 
     Rows without a text or label and texts that fail the base rules are not learned from.
-    The driver gets the features of ``SAMPLE_LINES`` lines of a row at most. Without good
+    The driver gets the features of ``SAMPLE_LINES`` lines of a row at most, in runs spread over
+    the whole text, its first and last lines among them. Without good
     and bad texts all weights are zero, which makes every line content.
     """
     marks = labels.select(labels[key].alias("doc_id"), labels[quality].cast("int").alias("quality"))
@@ -250,7 +259,7 @@ def train_line_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
             stats = base_stats(text, own)
             if not base_failed(stats[0], stats[4]):
                 good.append(quality == 1)
-                lines.append([list(f) for f in text_lines(own)[0][:SAMPLE_LINES]])
+                lines.append([list(f) for f in spread_lines(text_lines(own)[0])])
         yield {"good": good, "lines": lines}
 
     got = map_batches(rows, ["text", "quality"], features_of,
