@@ -31,6 +31,7 @@ from baitwatch.llm.common import (
 #: At most so many labelled rows are learned from.
 SAMPLE_ROWS = 8_000
 THRESHOLD = 0.3
+#: Letters of the shortest stem and of the longest stem or word that is learned.
 MIN_STEM, MAX_TERM = 3, 20
 #: A term is learned if chance would give its texts that many toxic ones this rarely.
 SIGNIFICANCE = 1e-5
@@ -38,7 +39,6 @@ SIGNIFICANCE = 1e-5
 KEEP = 0.95
 #: Least share of toxic texts among those with a term.
 PURITY = 0.9
-MAX_TERMS = 2_000
 #: What a toxic text counts for a term after each stronger term in it, and the least sum.
 EXPLAINED, LEAST_LEFT = 0.4, 2.0
 #: Shorter terms are matched exactly, longer ones with one error, the longest with two.
@@ -243,7 +243,7 @@ def learn_terms(counts: dict[str, tuple[int, int]], heads: dict[str, tuple[int,
             continue
         alone = counts.get(head, (0, 0))[0] >= KEEP * toxic
         found.append((-toxic, head, alone))
-    found = sorted(found)[:MAX_TERMS]
+    found = sorted(found)
     return [f[1] for f in found], [f[2] for f in found]
 
 
@@ -272,11 +272,13 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id"
     def heads_of(batch: pa.RecordBatch):
         held: dict[tuple[str, bool], list[int]] = defaultdict(lambda: [0, 0])
         for text, mark in zip(*(c.to_pylist() for c in batch.columns)):
-            words = {w[:MAX_TERM] for w in _WORD.findall(text.lower()) if not w.isdigit()}
-            for head in {w[:n] for w in words for n in range(MIN_STEM, len(w) + 1)}:
+            words = {w for w in _WORD.findall(text.lower()) if not w.isdigit()}
+            for head in {w[:n] for w in words
+                         for n in range(MIN_STEM, min(len(w), MAX_TERM) + 1)}:
                 held[head, False][1 - mark] += 1
             for word in words:
-                held[word, True][1 - mark] += 1
+                if len(word) <= MAX_TERM:
+                    held[word, True][1 - mark] += 1
         yield {"head": [k[0] for k in held], "whole": [k[1] for k in held],
                "toxic": [v[0] for v in held.values()], "clean": [v[1] for v in held.values()]}
 
@@ -398,7 +400,8 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text",
                threshold: float = THRESHOLD) -> DataFrame:
     """The rows with all their columns that score below the threshold.
 
-    A text without a match is kept whatever the prior.
+    A text without a match is kept whatever the prior; null and empty ones have none. Texts of
+    any length are scored whole, repeated rows are judged alike, and an empty table stays empty.
     """
 
     def keep(texts: list[str | None]) -> list[bool]:
