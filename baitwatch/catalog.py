@@ -34,6 +34,7 @@ from baitwatch.operators.detect import (
     score_mail,
 )
 from baitwatch.operators.validate import normalize_label, quarantined_mail, validate_mail
+from baitwatch.plans import snapshots
 from baitwatch.plans.session import work_folder
 from baitwatch.registry import CORPORA, MAX_MAIL_CHARS, MIXED_SEED, TEXT_CATEGORIES, TEXT_RULES
 from baitwatch.sources import damaged
@@ -215,6 +216,22 @@ def _kept_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.sweep_of(rollups.standing(spark, path))
 
 
+def _rewritten(spark: SparkSession, sf: str, ids: DataFrame, change) -> DataFrame:
+    path = X.scan_snapshots(spark, sf)
+    snapshots.rewrite(spark, path, ids, change)
+    return _flat(snapshots.read(spark, path))
+
+
+def _rewritten_notes(spark: SparkSession, sf: str) -> DataFrame:
+    edits = X.note_edits(spark, sf)
+    return _rewritten(spark, sf, edits, lambda part: scans.update_notes(part, edits))
+
+
+def _rewritten_deletes(spark: SparkSession, sf: str) -> DataFrame:
+    requests = X.delete_requests(spark, sf)
+    return _rewritten(spark, sf, requests, lambda part: scans.delete_scans(part, requests))
+
+
 def _indexed(spark: SparkSession, sf: str, query: str, literal: bool = False) -> DataFrame:
     return _flat(search_index.indexed_search(spark, X.search_index(spark, sf), query, literal))
 
@@ -426,6 +443,8 @@ def queries() -> dict[str, Query]:
             X.scans(spark, sf), X.note_edits(spark, sf)),
         "delete_scans": lambda spark, sf: _flat(scans.delete_scans(
             X.scans(spark, sf), X.delete_requests(spark, sf))),
+        "rewritten_notes": _rewritten_notes,
+        "rewritten_deletes": _rewritten_deletes,
         "missing_deletes": lambda spark, sf: scans.missing_deletes(
             X.scans(spark, sf), X.delete_requests(spark, sf)),
         "evolve_schema": _evolve,

@@ -20,7 +20,8 @@ from baitwatch.operators.detect import analyse_mail
 from baitwatch.operators.link_index import add_links
 from baitwatch.operators.search_index import add_to_index
 from baitwatch.operators.validate import valid_mail
-from baitwatch.plans.scan_store import store_scans
+from baitwatch.plans import snapshots
+from baitwatch.plans.scan_store import BUCKETS, store_scans
 from baitwatch.plans.session import work_folder
 from baitwatch.plans.spread import spread
 from baitwatch.registry import BRAND_DOMAINS, CORPORA
@@ -267,8 +268,20 @@ def _once(spark: SparkSession, sf_dir: str, what: str, write) -> str:
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scan table, written once per application as a stored table would be."""
-    return spark.table(_once(spark, sf_dir, "scans", lambda name, path: store_scans(
-        scored_scans(spark, sf_dir), name, path)))
+    def write(name: str, path: str) -> None:
+        own = snapshots.buckets_for(table(spark, sf_dir, "documents"), "text")
+        store_scans(scored_scans(spark, sf_dir), name, path, max(BUCKETS, own))
+
+    return spark.table(_once(spark, sf_dir, "scans", write))
+
+
+def scan_snapshots(spark: SparkSession, sf_dir: str) -> str:
+    """Where the scans are a table of snapshots, anew for each change; small buckets, so that
+    small tables have several."""
+    path = work_folder(spark, "snapshots")
+    own = snapshots.buckets_for(table(spark, sf_dir, "documents"), "text", 1 << 20)
+    snapshots.create(scans(spark, sf_dir), path, own)
+    return path
 
 
 def search_index(spark: SparkSession, sf_dir: str) -> str:

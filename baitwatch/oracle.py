@@ -713,6 +713,8 @@ FROM scans LEFT JOIN due USING (mail_id)"""
         "WHERE s.id IS NULL OR length(edits.note) > 2000")
     out["delete_scans"] = s + (
         f"SELECT {SCAN_VIEW} FROM scans WHERE id NOT IN (SELECT doc_id * 3 FROM documents)")
+    out["rewritten_notes"] = out["update_notes"]
+    out["rewritten_deletes"] = out["delete_scans"]
     out["missing_deletes"] = s + (
         "SELECT DISTINCT doc_id * 3 AS id FROM documents WHERE doc_id * 3 NOT IN "
         "(SELECT id FROM scans)")

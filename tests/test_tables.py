@@ -388,3 +388,19 @@ def test_streams_into_a_table_with_rows_and_repeated_batches(spark, mails, tmp_p
                              for r in spark.read.parquet(checked).collect()))
     assert rounds[0] == rounds[1] and [r[0] for r in rounds[0]] == sorted(ids)
     assert all(r[2] for r in rounds[0])
+
+
+def test_work_folders_have_one_parent_that_can_be_removed(spark, tmp_path):
+    import os
+
+    from baitwatch.plans.session import discard
+
+    one, other = work_folder(spark, "x"), work_folder(spark, "x")
+    assert one != other and os.path.dirname(one) == os.path.dirname(other)
+    for folder in (one, other):
+        spark.range(3).write.parquet(folder)
+    discard(spark, one)
+    local = other.removeprefix("file:")
+    assert not os.path.exists(one.removeprefix("file:")) and os.path.exists(local)
+    with pytest.raises(ValueError, match="no work folder"):
+        discard(spark, str(tmp_path))
