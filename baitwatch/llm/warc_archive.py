@@ -27,6 +27,8 @@ READ = (
     "page_id long, payload_bytes long, payload_digest string, record_type string, "
     "refers_to long, target_uri string, record binary"
 )
+#: Bytes of payload after which the records put together so far are handed on.
+RECORD_BYTES = 4_000_000
 _NAMESPACE = uuid.UUID(int=0)
 
 
@@ -139,30 +141,40 @@ def read_archive(spark: SparkSession, archive: Archive, with_record: bool = True
     payloads = spark.read.schema("digest binary, packed binary").parquet(archive.payloads)
     joined = headers.join(payloads, "digest").select("digest", "header", "packed")
 
+    names = [f.split()[0] for f in READ.split(", ")]
+
     def unpack(batch: pa.RecordBatch):
-        names = [f.split()[0] for f in READ.split(", ")]
         found: dict[str, list] = {name: [] for name in names}
-        for digest, block, packed in zip(*(c.to_pylist() for c in batch.columns)):
-            payload = zlib.decompress(packed)
+        size, last, payload, sha1 = 0, None, b"", ""
+        for row in range(batch.num_rows):
+            digest, block, packed = (c[row].as_py() for c in batch.columns)
+            if digest != last:
+                # Rows come in order of the digest, so a payload is checked once a batch.
+                last, payload = digest, zlib.decompress(packed)
+                sha1 = base32_sha1(payload)
+                if hashlib.sha256(payload).digest() != digest:
+                    raise ValueError(f"a payload of {len(payload)} bytes has changed")
             header = parse_header(block)
-            sha1 = base32_sha1(payload)
-            if hashlib.sha256(payload).digest() != digest or (
-                    header["WARC-Payload-Digest"] != f"sha1:{sha1}"):
+            if header["WARC-Payload-Digest"] != f"sha1:{sha1}":
                 raise ValueError(f"payload of {header['WARC-Record-ID']} has changed")
             page, first = header.get("X-Page"), header.get("X-Refers-To-Page")
-            row = (page and int(page), len(payload), sha1, header["WARC-Type"],
-                   first and int(first), header["WARC-Target-URI"],
-                   block + payload if with_record else None)
-            for name, value in zip(names, row):
+            values = (page and int(page), len(payload), sha1, header["WARC-Type"],
+                      first and int(first), header["WARC-Target-URI"],
+                      block + payload if with_record else None)
+            for name, value in zip(names, values):
                 found[name].append(value)
+            size += len(payload)
+            if size >= RECORD_BYTES:
+                yield found
+                found, size = {name: [] for name in names}, 0
         yield found
 
     return map_batches(joined, joined.columns, unpack, READ)
 
 
 def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = write_archive(table(spark, sf_dir, "pages"))
-    return read_archive(spark, archive, with_record=False).drop("target_uri", "record")
+    records = read_archive(spark, write_archive(table(spark, sf_dir, "pages")))
+    return records.drop("target_uri", "record")
 
 
 #: SHA-1 in base32: five hex digits are four digits of base 32.
