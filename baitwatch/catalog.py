@@ -415,6 +415,8 @@ def queries() -> dict[str, Query]:
         "history_search": _on_scans(lambda s: _flat(history.search_scans(s, " paypal%LOGIN "))),
         "indexed_search": lambda spark, sf: _indexed(spark, sf, " paypal%LOGIN "),
         "indexed_search_literal": lambda spark, sf: _indexed(spark, sf, "100%_List", literal=True),
+        "indexed_page": lambda spark, sf: _flat(search_index.indexed_page(
+            spark, X.search_index(spark, sf), "your account", "Dangerous")),
         "history_risk": _on_scans(lambda s: _flat(history.filter_risk(s, "Suspicious"))),
         "scan_detail": _on_scans(lambda s: _flat(history.scan_by_id(s, 42))),
         "history_page": _on_scans(lambda s: _flat(

@@ -14,8 +14,9 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baitwatch.operators.history import search_scans
+from baitwatch.operators.history import filter_risk, search_scans
 from baitwatch.plans.session import work_folder
+from baitwatch.registry import HISTORY_PAGE
 
 GRAM = 3
 #: Ids that differ in their last bits only are in one block.
@@ -122,3 +123,12 @@ def indexed_search(
     within = F.col("block").between(low, high)
     some = scans.filter(within).join(few.filter(within), ["block", "id"], "left_semi")
     return search_scans(some, query, literal).drop("block")
+
+
+def indexed_page(
+    spark: SparkSession, name: str, query: str, level: str | None = None, n: int = HISTORY_PAGE,
+    literal: bool = False,
+) -> DataFrame:
+    """``history_page`` for a search, by way of the index."""
+    found = filter_risk(indexed_search(spark, name, query, literal), level)
+    return found.orderBy(F.desc("id")).limit(n)

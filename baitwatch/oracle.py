@@ -599,6 +599,7 @@ SELECT *, CASE WHEN legitimate_pct = 0 THEN 'Infinity'::DOUBLE
         f"SELECT {SCAN_VIEW} FROM scans WHERE risk_level = 'Dangerous' AND (email_text ILIKE "
         "'%your account%' OR note ILIKE '%your account%' OR flags ILIKE '%your account%') "
         "ORDER BY id DESC LIMIT 50")
+    out["indexed_page"] = out["history_page"]
     out["link_check_queue"] = s + (
         "SELECT id FROM scans JOIN url_lists USING (mail_id) WHERE len(l) > 0 "
         "AND NOT network_checked")

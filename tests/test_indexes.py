@@ -51,6 +51,8 @@ def test_indexed_search_finds_what_a_search_finds(spark, scans, place):
             assert sorted(r.id for r in got) == sorted(r.id for r in want), (query, literal)
             found += len(got)
     assert found
+    page = search_index.indexed_page(spark, name, "pay", "Safe", 7).collect()
+    assert page == history.history_page(table, "pay", "Safe", 7).collect() and len(page) == 7
     # An append leaves the lists of earlier batches as they are.
     assert spark.table(f"{name}_postings").filter("gram = 'pay'").groupBy("block").count().filter(
         "count > 1").count() > 0
