@@ -1,10 +1,10 @@
 """Token counts under a unigram model, by dynamic programming shared along a trie.
 
-A text is cut into pre-tokens; the distinct ones of a slice are put in a trie. The best
-score of a prefix only depends on the prefix, so every trie node is scored once, however
-many pre-tokens run through it, and a terminal node keeps the number of tokens of its
-best segmentation. The trie is walked in sorted order, so only the current path of
-scores is in memory, and terminal counts are kept between slices up to a bound.
+A text is cut into pre-tokens, and the distinct ones are inserted in a trie. The best score
+of a prefix only depends on the prefix, so every node is scored once, when it is made, however
+many pre-tokens run through it and in however many texts; the node where a pre-token ends
+has the number of tokens of its best segmentation. A task keeps its trie; where it grows beyond
+a bound, the subtrees behind its first letters are dropped, largest first.
 
 The scores come from the rank order of a public vocabulary by Zipf's law; nothing is
 trained.
@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import math
 import os
+from array import array
 from collections.abc import Iterable
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +26,10 @@ from baitwatch.llm.common import map_batches, slices, table
 SPACE = "▁"
 #: Added to the lowest score of a piece for a character that is in no piece.
 UNKNOWN = -10.0
-#: Terminal counts kept between slices; above that they are dropped and found anew.
-MAX_TERMINALS = 400_000
-#: Longer pre-tokens are scored on their own instead of in the trie.
-MAX_TRIE_CHARS = 200
+#: Nodes of the trie of a task; above that subtrees are dropped and scored anew when needed.
+MAX_NODES = 600_000
+#: First letters of a pre-token that tell its branch of the trie.
+BRANCH = 2
 SCHEMA = "doc_id long, n_bytes long, n_pretokens long, n_tokens long"
 
 
@@ -67,59 +69,124 @@ def pretokens(text: str) -> tuple[list[str], int]:
     return [t for t in marked.split("\n") if t], text.count("\n")
 
 
+class Nodes:
+    """Nodes of a part of the trie in arrays: best score and its number of tokens by node, and
+    the node behind a node and a letter. Node 0 is where the part begins."""
+
+    def __init__(self):
+        self.scores, self.counts = array("d", [0.0]), array("q", [0])
+        self.behind: dict[int, int] = {}
+
+
+class Path(NamedTuple):
+    """Scores, numbers of tokens and nodes from the root to a node; a node is a number in its part."""
+
+    scores: list[float]
+    counts: list[int]
+    nodes: list[int]
+
+
 class UnigramTrie:
-    """Numbers of tokens of pre-tokens, each distinct prefix scored once per slice."""
+    """Numbers of tokens of pre-tokens, each distinct prefix scored once.
 
-    def __init__(self, pieces: dict[str, float], max_terminals: int = MAX_TERMINALS):
+    The first ``BRANCH`` letters of all pre-tokens are one part; behind each of them lies a part of
+    its own, which can be dropped.
+    """
+
+    def __init__(self, pieces: dict[str, float], max_nodes: int = MAX_NODES):
         self.endings: dict[str, float | None] = {}
         for piece in pieces:
             for i in range(1, len(piece)):
                 self.endings.setdefault(piece[i:], None)
         self.endings.update(pieces)
         self.unknown = (min(pieces.values()) if pieces else 0.0) + UNKNOWN
-        self.max_terminals = max_terminals
+        self.max_nodes = max_nodes
+        self.top = Nodes()
+        self.branches: dict[str, Nodes] = {}
         self.terminals: dict[str, int] = {}
-        self.nodes = 0
+        #: Nodes made so far, and those that are held in branches.
+        self.nodes = self.held = 0
 
     def add(self, tokens: Iterable[str]) -> None:
-        """Scores the pre-tokens that have no terminal count yet."""
+        """Inserts the pre-tokens that are not in the trie; all of them have terminal counts
+        afterwards."""
         tokens = set(tokens)
-        new = sorted(t for t in tokens if t not in self.terminals)
-        if len(self.terminals) + len(new) > self.max_terminals:
-            self.terminals = {}
-            new = sorted(tokens)
-        last, scores, counts = "", [0.0], [0]
-        for token in new:
-            if len(token) > MAX_TRIE_CHARS:
-                self.terminals[token] = self._score(token, 0, [0.0], [0])
-                continue
+        path, last = Path([0.0], [0], [0]), ""
+        # In order, so that a walk goes on where it leaves the path of the one before.
+        for token in sorted(tokens.difference(self.terminals)):
             shared = len(os.path.commonprefix((last, token)))
-            del scores[shared + 1:], counts[shared + 1:]
-            self.terminals[token] = self._score(token, shared, scores, counts)
+            for values in path:
+                del values[shared + 1:]
+            self.terminals[token] = self._insert(token, shared, path)
             last = token
-
-    def _score(self, token: str, start: int, scores: list[float], counts: list[int]) -> int:
-        """Extends the scores of a path; of equal scores the one with fewer tokens counts."""
-        endings = self.endings
-        self.nodes += len(token) - start
+        if self.held > self.max_nodes:
+            self._shrink(tokens)
+
+    def _shrink(self, needed: set[str]) -> None:
+        """Drops the largest branches until half of the bound is left, with the terminal counts
+        that are not needed now."""
+        sizes = {b: len(part.behind) for b, part in self.branches.items()}
+        for branch in sorted(sizes, key=lambda b: -sizes[b]):
+            if self.held <= self.max_nodes // 2:
+                break
+            del self.branches[branch]
+            self.held -= sizes[branch]
+        self.terminals = {t: n for t, n in self.terminals.items()
+                          if t in needed or t[:BRANCH] in self.branches}
+
+    def _insert(self, token: str, shared: int, path: Path) -> int:
+        """Walks on from the shared part of a path and makes the nodes that are not there; the
+        number of tokens."""
+        if shared < BRANCH:
+            self.nodes += self._walk(self.top, token[:BRANCH], shared, path)
+        if len(token) > BRANCH:
+            part = self.branches.get(token[:BRANCH])
+            if part is None:
+                part = self.branches[token[:BRANCH]] = Nodes()
+            if shared <= BRANCH:
+                path.nodes[BRANCH] = 0
+            made = self._walk(part, token, max(shared, BRANCH), path)
+            self.nodes += made
+            self.held += made
+        return path.counts[-1]
+
+    def _walk(self, part: Nodes, token: str, start: int, path: Path) -> int:
+        """Extends a path by the nodes of a part; how many had to be made."""
+        behind, best, number = part.behind, part.scores, part.counts
+        scores, counts, nodes = path
+        node, before = nodes[start], len(best)
         for end in range(start + 1, len(token) + 1):
-            best = scores[end - 1] + self.unknown
-            char = token[end - 1]
-            count = counts[end - 1] + len(char.encode())
-            begin = end - 1
-            while begin >= 0:
-                ending = token[begin:end]
-                if ending not in endings:
-                    break
-                own = endings[ending]
-                if own is not None:
-                    found = scores[begin] + own
-                    if found > best or found == best and counts[begin] + 1 < count:
-                        best, count = found, counts[begin] + 1
-                begin -= 1
-            scores.append(best)
+            step = node << 21 | ord(token[end - 1])
+            node = behind.get(step, 0)
+            if node:
+                score, count = best[node], number[node]
+            else:
+                node = behind[step] = len(best)
+                score, count = self._score(token, end, scores, counts)
+                best.append(score)
+                number.append(count)
+            scores.append(score)
             counts.append(count)
-        return counts[-1]
+            nodes.append(node)
+        return len(best) - before
+
+    def _score(self, token: str, end: int, scores: list[float], counts: list[int]):
+        """Best score of a prefix; of equal scores the one with fewer tokens counts."""
+        endings = self.endings
+        best = scores[end - 1] + self.unknown
+        count = counts[end - 1] + len(token[end - 1].encode())
+        begin = end - 1
+        while begin >= 0:
+            ending = token[begin:end]
+            if ending not in endings:
+                break
+            own = endings[ending]
+            if own is not None:
+                found = scores[begin] + own
+                if found > best or found == best and counts[begin] + 1 < count:
+                    best, count = found, counts[begin] + 1
+            begin -= 1
+        return best, count
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -127,8 +194,8 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """``doc_id, n_bytes, n_pretokens, n_tokens`` for every row.
 
     A null or empty text has no tokens; a repeated row is counted again; other columns are
-    ignored. A task holds one slice of texts and a bounded number of terminal counts, and
-    nothing is shuffled.
+    ignored. A task holds one slice of texts and a trie of bounded size, and nothing is
+    shuffled.
     """
     own: dict[str, UnigramTrie] = {}
 

@@ -41,7 +41,7 @@ def brute_force(token, pieces):
     return best[-1][1]
 
 
-def plain_count(text, pieces):
+def plain_count(text, pieces, known=None):
     if not text:
         return 0, 0
     marked = T.SPACE + text.replace(" ", T.SPACE)
@@ -52,16 +52,28 @@ def plain_count(text, pieces):
             own = ""
         own += "" if char == "\n" else char
     tokens = [t for t in [*tokens, own] if t]
-    return len(tokens), text.count("\n") + sum(brute_force(t, pieces) for t in tokens)
+    known = {} if known is None else known
+    for t in {*tokens} - {*known}:
+        known[t] = brute_force(t, pieces)
+    return len(tokens), text.count("\n") + sum(map(known.__getitem__, tokens))
 
 
 def test_whole_table_against_plain_counts(spark, pieces):
     rows = T.op1_token_counts(spark, SF).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert len(rows) == len(texts)
+    known = {}
     for r in rows:
-        if len(texts[r.doc_id]) < 4000:
-            assert (r.n_pretokens, r.n_tokens) == plain_count(texts[r.doc_id], pieces)
+        assert (r.n_pretokens, r.n_tokens) == plain_count(texts[r.doc_id], pieces, known)
+
+
+def test_long_pretokens_share_the_trie(pieces):
+    """Two pre-tokens of 700 letters with 699 in common: a letter more is a node more."""
+    trie = T.UnigramTrie(pieces)
+    tokens = ["ab" * 349 + "a", "ab" * 350]
+    trie.add(tokens)
+    assert trie.nodes == 700 and {t: trie.terminals[t] for t in tokens} == {
+        t: brute_force(t, pieces) for t in tokens}
 
 
 def test_edge_cases(docs, odd, pieces):
@@ -75,13 +87,33 @@ def test_edge_cases(docs, odd, pieces):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="▁abcthe in中ß", max_size=14), max_size=12), st.integers(1, 6))
 def test_shared_prefixes_change_no_count(pieces, texts, bound):
-    small = T.UnigramTrie(pieces, max_terminals=bound)
+    small = T.UnigramTrie(pieces, max_nodes=bound)
     tokens = {t for text in texts for t in T.pretokens(text)[0]}
     small.add(tokens)
     small.add(tokens)
     assert {t: small.terminals[t] for t in tokens} == {t: brute_force(t, pieces) for t in tokens}
 
 
+def test_a_prefix_of_two_slices_is_scored_once(pieces):
+    trie = T.UnigramTrie(pieces)
+    trie.add(["▁there"])
+    trie.add(["▁these", "▁there"])
+    assert trie.nodes == len("▁there") + len("se")
+    assert [*trie.branches] == ["▁t"] and trie.held == trie.nodes - 2
+
+
+def test_dropped_branches_are_made_again(pieces):
+    trie = T.UnigramTrie(pieces, max_nodes=30)
+    words = ["▁" + a + "nother word"[:n] for a in "abcdefgh" for n in (3, 7)]
+    want = {w: brute_force(w, pieces) for w in words}
+    for _ in range(3):
+        for word in words:
+            trie.add([word])
+            assert trie.terminals[word] == want[word]
+            assert trie.held <= 30 and set(trie.terminals) <= set(words)
+    assert trie.nodes > 8 * 9
+
+
 def test_counts_of_a_library(pieces, library, spark):
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(30).collect()]
     words = {t for text in texts for t in T.pretokens(text)[0]}
@@ -130,6 +162,16 @@ def test_packing_of_the_whole_table(spark):
     assert len(sequences) <= -(-tokens // P.SEQUENCE) * 1.02 + 2
 
 
+def test_ids_of_a_larger_table_are_the_library_ids(spark):
+    """The named library over all texts of a table ten times as large."""
+    bpe = P.ByteBpe()
+    folder = SF.replace("0.001", "0.01")
+    texts = [r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect()]
+    exact = bpe.exact.encode_batch(texts, add_special_tokens=False)
+    for text, own in zip(texts, exact):
+        assert bpe.encode(text) == np.array(own.ids, "<u4").tobytes()
+
+
 def test_packing_edge_cases(docs, odd):
     rows = [(i, text) for i, (_, text) in enumerate(odd)]
     check_packed(P.pack_documents(docs(*rows)).collect(), dict(rows))
