@@ -46,7 +46,13 @@ from baitwatch.sources.datasets import (
     write_results,
 )
 from baitwatch.sources.exports import flat_export, nested_export
-from baitwatch.streaming.scan_stream import first_arrivals, stream_link_check, stream_scan
+from baitwatch.streaming.scan_stream import (
+    first_arrivals,
+    standing_hits,
+    stream_late_threats,
+    stream_link_check,
+    stream_scan,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -344,6 +350,17 @@ def _stream_scan(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(spark.read.parquet(f"{_streamed_scans(spark, sf)}/scans"))
 
 
+def _stream_late_threats(spark: SparkSession, sf: str) -> DataFrame:
+    """Threat entries that arrive in several files, a micro-batch each."""
+    base, entries = work_folder(spark, "late"), X.threat_list(spark, sf)
+    entries.repartition(4, "ord").write.parquet(f"{base}/arriving")
+    arriving = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(
+        f"{base}/arriving")
+    stream_late_threats(
+        arriving, X.link_index(spark, sf), base, f"{base}/state").awaitTermination()
+    return standing_hits(spark, base)
+
+
 def _stream_link_check(spark: SparkSession, sf: str) -> DataFrame:
     base = _streamed_scans(spark, sf)
     stream_link_check(
@@ -454,4 +471,5 @@ def queries() -> dict[str, Query]:
         "stream_scan": _stream_scan,
         "stream_resubmitted": _stream_resubmitted,
         "stream_link_check": _stream_link_check,
+        "stream_late_threats": _stream_late_threats,
     }

@@ -640,6 +640,7 @@ SELECT *, CASE WHEN legitimate_pct = 0 THEN 'Infinity'::DOUBLE
     valid_links = with_(VALID, ", ", THREATS.strip(), urls("valid"), checks("valid"))
     out["late_threats"] = valid_links + (
         "SELECT mail_id + 1 AS id, url, threat, ord, message FROM threat_hits")
+    out["stream_late_threats"] = out["late_threats"]
     registry = values((str(i), q(b), q(b.title()), "[" + ", ".join(map(q, d)) + "]")
                       for i, (b, d) in enumerate(R.BRAND_DOMAINS.items()))
     letters = f"{q(''.join(_PLAIN))}, {q(''.join(_PLAIN.values()))}"

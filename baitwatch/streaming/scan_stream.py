@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from baitwatch.operators.enrich import check_links, link_check_queue
+from baitwatch.operators.link_index import late_hits
 from baitwatch.operators.scans import merge_link_findings, new_scans
 from baitwatch.operators.validate import quarantined_mail
 
@@ -78,3 +80,37 @@ def stream_link_check(
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
+
+
+def stream_late_threats(
+    entries: DataFrame, index: DataFrame, out_path: str, checkpoint: str, key: str = "id",
+    trigger=None,
+) -> StreamingQuery:
+    """Finds the stored scans that arriving threat entries concern, from the link index alone.
+
+    Each batch stores its entries and the hits that are new or changed with them; earlier
+    batches are what was known. A batch that runs again replaces what it stored.
+    """
+    spark = entries.sparkSession
+    dated = StructType([*entries.schema.fields, StructField("batch", LongType())])
+
+    def find(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/entries/batch={batch_id}")
+        stored = spark.read.schema(dated).parquet(f"{out_path}/entries")
+        known = stored.filter(F.col("batch") < batch_id).drop("batch")
+        late = stored.filter(F.col("batch") == batch_id).drop("batch")
+        late_hits(index, known, late, key).drop("before").write.mode("overwrite").parquet(
+            f"{out_path}/hits/batch={batch_id}")
+
+    return (
+        entries.writeStream.foreachBatch(find).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def standing_hits(spark: SparkSession, out_path: str, key: str = "id") -> DataFrame:
+    """``key, url, threat, ord, message`` of all batches, the last one of each scan and link."""
+    hits = spark.read.parquet(f"{out_path}/hits")
+    facts = [c for c in hits.columns if c not in (key, "url", "batch")]
+    last = F.max_by(F.struct(*facts), "batch").alias("last")
+    return hits.groupBy(key, "url").agg(last).select(key, "url", "last.*")

@@ -10,6 +10,7 @@ from baitwatch.functions.findings import FINDINGS
 from baitwatch.operators import brand_registry, enrich, history, link_index, links, search_index
 from baitwatch.operators.scans import SCAN_COLUMNS, merge_link_findings
 from baitwatch.registry import BRAND_DOMAINS, THREAT_POINTS
+from baitwatch.streaming.scan_stream import standing_hits, stream_late_threats
 
 SCAN = ("id long, email_text string, flags array<string>, findings " + FINDINGS + ", score int, "
         "risk_level string, note string, created_at timestamp_ntz, network_checked boolean")
@@ -115,6 +116,23 @@ def test_index_and_late_entries_equal_the_whole_list(spark, scans, place, late):
     assert view(unchecked) == view(table)
 
 
+def test_entries_of_a_stream_find_old_scans(spark, scans, place):
+    """Files arrive in two runs, so the second meets what the first one knew."""
+    name, path = place
+    table = scans([(i, t, [], "", False) for i, t in MAIL])
+    link_index.add_links(table, name, f"{path}/links")
+    order = [8, 3, 0, 5, 1, 2, 4, 7, 6]
+    for run, some in enumerate((order[:4], order[4:])):
+        for i in some:
+            spark.createDataFrame([ENTRIES[i]], ENTRY).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        arriving = spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        stream_late_threats(arriving, spark.table(name), f"{path}/out", f"{path}/state").awaitTermination()
+        seen = spark.createDataFrame([ENTRIES[i] for i in (order[:4] if not run else order)], ENTRY)
+        got = standing_hits(spark, f"{path}/out").select("id", "url", "threat", "ord", "message").collect()
+        want = enrich.threat_hits(table, seen, "id").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
+
+
 def test_late_entries_read_no_text(spark, scans, place):
     name, path = place
     link_index.add_links(scans([(i, t, [], "", True) for i, t in MAIL]), name, path)
