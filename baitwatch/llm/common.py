@@ -21,15 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> str:
+    """``df`` computed once, as a table in the shared folder that every executor sees; where
+    it is."""
+    folder = work_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return folder
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` computed once, as a table in the shared folder that every executor sees.
+    """``df`` as it was ``stored``.
 
     A lost executor loses nothing of it, and everything behind it has a short lineage.
     """
-    spark = df.sparkSession
-    folder = work_folder(spark, name)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
 
 
 def map_batches(

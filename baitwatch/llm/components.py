@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from baitwatch.llm.common import written
+from baitwatch.llm.common import stored
+from baitwatch.plans.session import discard
 
 
 def _star(edges: DataFrame, both: bool) -> DataFrame:
@@ -33,13 +34,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     A large and a small star make a round; after a logarithmic number of them every node
     is linked to its root alone. Each round is written to the shared folder, so neither
-    the lineage nor the driver grows with the number of edges.
+    the lineage nor the driver grows with the number of edges, and the round before it is
+    removed.
     """
-    links = written(edges.filter("a <> b").select("a", "b").distinct(), "edges")
+    spark, edges = edges.sparkSession, edges.select("a", "b")
+    folder = stored(edges.filter("a <> b").distinct(), "edges")
+    links = spark.read.schema(edges.schema).parquet(folder)
     state = _state(links)
     while state[0]:
-        links = written(_star(_star(links, True), False), "edges")
-        before, state = state, _state(links)
+        before, old = state, folder
+        folder = stored(_star(_star(links, True), False), "edges")
+        discard(spark, old)
+        links = spark.read.schema(edges.schema).parquet(folder)
+        state = _state(links)
         if state == before:
             break
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -128,7 +128,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class with all its columns: the smallest id, of equal ids the smallest
-    text hash; of rows that are equal in both one stays. A class without ids keeps one row."""
+    text hash; of rows that are equal in both one stays. A class without ids keeps one row.
+
+    Null texts and texts without words are one class. Texts of any length are hashed whole,
+    columns keep their names and places even where names repeat, and an empty table stays
+    empty.
+    """
     prints = written(fingerprints(docs, key, text), "prints")
     return keep_least(docs, prints.join(classes(prints).select("fp", "root"), "fp"), key, text)
 

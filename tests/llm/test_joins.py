@@ -266,3 +266,35 @@ def test_hot_pattern_with_many_events(spark):
         spark.createDataFrame(captures, "id long, url string, fetched_at timestamp"),
         spark.createDataFrame(events, "list_name string, kind string, pattern string, action string, at timestamp"))
     assert {r.id for r in got.collect() if r.blocked} == set(range(0, 600, 2))
+
+
+def test_a_payload_that_half_of_all_pages_share(spark):
+    """Its bytes are stored once, and each of its records is put together again."""
+    rows = [(i, f"http://h{i}.example/", "same <b>page</b>" * 50 if i % 2 else f"page {i}")
+            for i in range(3_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archive = warc_archive.write_archive(pages)
+    assert spark.read.parquet(archive.payloads).count() == 1_501
+    found = warc_archive.read_archive(spark, archive).collect()
+    types = Counter(r.record_type for r in found)
+    assert types == {"response": 1_501, "revisit": 1_499} and len(found) == 3_000
+    assert {r.refers_to for r in found if r.record_type == "revisit"} == {1}
+    for r in found:
+        assert bytes(r.record).endswith(b"\r\n\r\n" + rows[r.page_id][2].encode())
+
+
+def test_large_groups_and_a_passage_that_many_share(spark, docs):
+    """Copies cost a row each, and what documents only share a passage of stays."""
+    import random
+
+    draw = random.Random(12)
+    prose = lambda n: " ".join(f"w{draw.randrange(5_000)}" for _ in range(n))
+    passage, page = prose(60), prose(300)
+    rows = [(i, page) for i in range(3_000)]
+    rows += [(5_000 + i, f"{page} {'x' * (i % 7)}".strip()) for i in range(500)]
+    rows += [(10_000 + i, f"{prose(40)} {passage} {prose(40)}") for i in range(400)]
+    prints = [(k, simhash.fingerprint(t) % (1 << 64)) for k, t in rows]
+    want = plain_classes(prints)
+    kept = {r.doc_id for r in simhash.keep_one_of_each(docs(*rows)).collect()}
+    assert kept == set(want.values()) and {10_000 + i for i in range(400)} <= kept
+    assert 0 in kept and len(kept) <= 400 + 7
