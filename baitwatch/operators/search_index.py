@@ -59,14 +59,25 @@ def postings(scans: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
 def add_to_index(
     scans: DataFrame, name: str, path: str, bits: int = BLOCK_BITS, buckets: int = BUCKETS
 ) -> None:
-    """Adds a batch of scans that are not indexed yet to the tables ``name_postings`` and
-    ``name_scans`` below ``path``."""
-    lists = postings(scans, bits).repartition(buckets, "gram")
+    """Adds a batch of scans to the tables ``name_postings`` and ``name_scans`` below ``path``.
+
+    Scans that are stored are left out, so a batch that runs again changes nothing; only ids in
+    the blocks of the batch are compared. Postings are written first: a run that fails
+    between the two leaves ids without a scan, which no search returns.
+    """
+    spark = scans.sparkSession
+    rows = scans.withColumn("block", block_of(F.col("id"), bits))
+    if spark.catalog.tableExists(f"{name}_scans"):
+        low, high = rows.agg(F.min("block"), F.max("block")).first()
+        if low is None:
+            return
+        known = spark.table(f"{name}_scans").filter(F.col("block").between(low, high))
+        rows = rows.join(known.select("block", "id"), ["block", "id"], "left_anti").select(*rows.columns)
+    lists = postings(rows, bits).repartition(buckets, "gram")
     lists.write.bucketBy(buckets, "gram").sortBy("gram").option(
         "path", f"{path}/postings").mode("append").saveAsTable(f"{name}_postings")
-    rows = scans.withColumn("block", block_of(F.col("id"), bits)).repartition("block")
-    rows.sortWithinPartitions("block", "id").write.partitionBy("block").option(
-        "path", f"{path}/scans").mode("append").saveAsTable(f"{name}_scans")
+    rows.repartition("block").sortWithinPartitions("block", "id").write.partitionBy(
+        "block").option("path", f"{path}/scans").mode("append").saveAsTable(f"{name}_scans")
 
 
 def query_grams(query: str, literal: bool = False) -> list[str]:

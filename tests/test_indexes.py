@@ -42,7 +42,7 @@ def test_indexed_search_finds_what_a_search_finds(spark, scans, place):
     rows = [(i * 37 % 900, TEXTS[i % len(TEXTS)], ["Flagged LINE", "two"] if i % 7 == 0 else [],
              None if i % 3 else "seen by 100%_list", False) for i in range(900)]
     table = scans(rows)
-    for batch in range(3):
+    for batch in (0, 1, 2, 1):  # one of them twice
         search_index.add_to_index(table.filter(F.col("id") % 3 == batch), name, path, bits=6)
     found = 0
     for query in QUERIES:
@@ -54,6 +54,7 @@ def test_indexed_search_finds_what_a_search_finds(spark, scans, place):
     assert found
     page = search_index.indexed_page(spark, name, "pay", "Safe", 7).collect()
     assert page == history.history_page(table, "pay", "Safe", 7).collect() and len(page) == 7
+    assert spark.table(f"{name}_scans").count() == table.count()
     # An append leaves the lists of earlier batches as they are.
     assert spark.table(f"{name}_postings").filter("gram = 'pay'").groupBy("block").count().filter(
         "count > 1").count() > 0
