@@ -5,6 +5,9 @@ bytes, max pooling and a softmax layer. A filter over one-hot bytes is a sum of
 look-ups, one per byte of its width; for applying it, tables of two bytes each are added
 up first, which halves the look-ups. Every window of a text counts, and the mean of their
 logits decides.
+
+For filtering, the network has one class more: windows in no language, made of learned ones by
+shuffling their bytes and of random words in many scripts.
 """
 
 from __future__ import annotations
@@ -28,13 +31,14 @@ FILTERS = 8
 SAMPLE_ROWS = 6_000
 SAMPLE_WINDOWS = 3
 STEPS, BATCH, RATE = 1_500, 64, 0.01
-#: Least probability of the best language where no limits were fitted; up to four languages
-#: it rejects nothing.
-MIN_SCORE = 0.2
-#: Limits lie so far on the way from chance to the least score of a labelled row.
-MARGIN = 0.8
-#: Size classes of texts: the bits of their number of bytes, up to this many.
-SIZES = 9
+#: A text is rejected if being in no language leads by so much more, in logits, than it does
+#: for any labelled row.
+MARGIN = 1.0
+#: First letters and sizes of alphabets that random words are drawn from.
+SCRIPTS = (
+    ("а", 32), ("α", 25), ("א", 27), ("ا", 42), ("अ", 54), ("ก", 46), ("ა", 33), ("ա", 38),
+    ("あ", 86), ("ア", 90), ("가", 11_172), ("一", 20_992), ("a", 26),
+)
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -134,21 +138,36 @@ class ByteConvNet:
             found[at:at + block] = hidden @ self.out + self.out_bias
         return found
 
-    def predict(self, texts: list[str | None], parts) -> list[tuple[str, float]]:
-        """Language and its probability; ``und`` and 0 for a text without a letter."""
-        found: list[tuple[str, float]] = []
+    def mean_logits(self, texts: list[str | None], parts) -> np.ndarray:
+        """Mean logits of the windows of each text."""
+        found = [np.zeros((0, len(self.languages)), np.float32)]
         for part in slices(texts):
             data = [windows(texts[i]) for i in part]
             starts = np.cumsum([0, *map(len, data)][:-1])
-            mean = np.add.reduceat(self.logits(np.concatenate(data), parts), starts, axis=0)
-            chance = _softmax(mean / np.array([len(d) for d in data])[:, None])
-            for i, c in zip(part, chance):
-                letters = texts[i] and _LETTER.search(texts[i])
-                best = int(c.argmax()) if len(c) else 0
-                found.append((self.languages[best], float(c[best])) if letters and len(c)
-                             else (UNDETERMINED, 0.0))
+            total = np.add.reduceat(self.logits(np.concatenate(data), parts), starts, axis=0)
+            found.append(total / np.array([len(d) for d in data])[:, None])
+        return np.concatenate(found)
+
+    def predict(self, texts: list[str | None], parts) -> list[tuple[str, float]]:
+        """Language and its probability; ``und`` and 0 for a text without a letter."""
+        found: list[tuple[str, float]] = []
+        for text, chance in zip(texts, _softmax(self.mean_logits(texts, parts))):
+            best = int(chance.argmax()) if len(chance) else 0
+            found.append((self.languages[best], float(chance[best]))
+                         if has_letter(text) and len(chance) else (UNDETERMINED, 0.0))
         return found
 
+    def strangeness(self, texts: list[str | None], parts) -> list[float]:
+        """By how much each text is rather in no language, the last class, than in the best one;
+        infinite for a text without a letter."""
+        logits = self.mean_logits(texts, parts)
+        lead = logits[:, -1] - logits[:, :-1].max(1, initial=-np.inf)
+        return [float(g) if has_letter(t) else float("inf") for t, g in zip(texts, lead)]
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text and _LETTER.search(text))
+
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
     if not logits.shape[1]:
@@ -157,10 +176,32 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return powers / powers.sum(1, keepdims=True)
 
 
+def strange_windows(data: np.ndarray, seed: int = 7) -> np.ndarray:
+    """As many windows that are in no language: of every second one the bytes shuffled, for the
+    others random words of one script, as long as the window's text."""
+    random = np.random.default_rng(seed)
+    found = np.zeros_like(data)
+    for i, window in enumerate(data):
+        size = int(np.count_nonzero(window))
+        if i % 2:
+            found[i, :size] = random.permutation(window[:size])
+            continue
+        first, letters = SCRIPTS[random.integers(len(SCRIPTS))]
+        codes = ord(first) + random.integers(0, letters, size)
+        blank = random.random(size) < 0.17
+        text = "".join(" " if b else chr(c) for b, c in zip(blank, codes.tolist()))
+        own = np.frombuffer(text.lower().encode()[:size], np.uint8)
+        found[i, :len(own)] = own
+    return found
+
+
 def train_language_model(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                         lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> ByteConvNet:
+                         lang: str = "lang", sample_rows: int = SAMPLE_ROWS,
+                         rejecting: bool = False) -> ByteConvNet:
     """A network learned from a bounded sample of labelled rows outside the held-out third.
 
+    With ``rejecting`` the last class, ``und``, stands for no language.
+
     Rows with a null text or language and texts without a letter are not learned from. A
     row adds at most ``SAMPLE_WINDOWS`` windows, spread over its text, so the driver gets
     ``sample_rows * SAMPLE_WINDOWS * WINDOW`` bytes at most. Without any row the network
@@ -188,7 +229,13 @@ def train_language_model(docs: DataFrame, key: str = "doc_id", text: str = "text
     if names:
         data = np.frombuffer(b"".join(got["data"].to_pylist()), np.uint8).reshape(-1, WINDOW)
         at = {name: i for i, name in enumerate(model.languages)}
-        model.train(data, np.array([at[name] for name in names]))
+        classes = np.array([at[name] for name in names])
+        if rejecting:
+            strange = strange_windows(data[::len(at)])
+            model = ByteConvNet([*model.languages, UNDETERMINED])
+            data = np.concatenate([data, strange])
+            classes = np.concatenate([classes, np.full(len(strange), len(at))])
+        model.train(data, classes)
     return model
 
 
@@ -214,19 +261,15 @@ def predict_language(docs: DataFrame, model: ByteConvNet, key: str = "doc_id",
     return map_batches(rows, ["doc_id", "text"], predict, SCHEMA)
 
 
-def size_class(text: str | None) -> int:
-    """Bits of the number of bytes, so short texts, which tell little, have limits of their own."""
-    return min(len((text or "").encode()).bit_length(), SIZES)
-
-
-def fit_limits(docs: DataFrame, model: ByteConvNet, key: str = "doc_id", text: str = "text",
-               lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> list[float]:
-    """Least score for each size class, from labelled rows that the model didn't learn from.
+def fit_limit(docs: DataFrame, model: ByteConvNet, key: str = "doc_id", text: str = "text",
+              lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> float:
+    """The strangeness up to which texts are kept: ``MARGIN`` above that of every labelled row
+    with a letter in a bounded sample of those that the model didn't learn from, and of zero.
 
-    It lies between chance, one in the number of languages, and the least score of a labelled
-    row with a letter in that class, so labelled rows stay. A class without one rejects nothing.
+    One limit holds for texts of all sizes.
     """
-    chance = 1 / max(1, len(model.languages))
+    if not model.languages:
+        return 0.0
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"),
                        docs[lang].alias("lang"))
     rows = sample_by_hash(rows.filter((fold("doc_id", 3) == 1) & F.col("lang").isNotNull()),
@@ -234,35 +277,30 @@ def fit_limits(docs: DataFrame, model: ByteConvNet, key: str = "doc_id", text: s
     cache: list = []
 
     def measure(batch: pa.RecordBatch):
-        texts = batch.column(0).to_pylist()
+        texts = [t for t in batch.column(0).to_pylist() if has_letter(t)]
         cache or cache.append(model.pairs())
-        found = [(size_class(t), score) for t, (name, score)
-                 in zip(texts, model.predict(texts, cache[0])) if name != UNDETERMINED]
-        yield {"size": [size for size, _ in found], "score": [score for _, score in found]}
+        yield {"lead": model.strangeness(texts, cache[0])}
 
-    got = map_batches(rows, ["text"], measure, "size long, score double")
-    least = {r.size: r.least for r in got.groupBy("size").agg(F.min("score").alias("least")).collect()}
-    return [chance + MARGIN * (least[size] - chance) if size in least else 0.0
-            for size in range(SIZES + 1)]
+    got = map_batches(rows, ["text"], measure, "lead double")
+    return max(got.agg(F.max("lead")).first()[0] or 0.0, 0.0) + MARGIN
 
 
-def keep_known_language(docs: DataFrame, model: ByteConvNet, text: str = "text",
-                        min_score: float = MIN_SCORE,
-                        limits: list[float] | None = None) -> DataFrame:
-    """The rows whose text has a letter and a language that is likely enough.
+def keep_known_language(docs: DataFrame, model: ByteConvNet, limit: float = MARGIN,
+                        text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a letter and is in some language.
 
-    That is the limit of its size class, or ``min_score`` without ``limits``. A model that
-    knows no language rejects only texts without a letter.
+    ``limit`` is what ``fit_limit`` found. Null, empty and letterless texts go; texts of any
+    length are judged whole, by all their windows; repeated rows are judged alike. A model that
+    learned nothing, or that has no class for it, rejects only texts without a letter, and an
+    empty table stays empty.
     """
     cache: list = []
 
     def keep(texts: list[str | None]) -> list[bool]:
-        if not model.languages:
-            return [bool(t and _LETTER.search(t)) for t in texts]
+        if model.languages[-1:] != [UNDETERMINED]:
+            return [has_letter(t) for t in texts]
         cache or cache.append(model.pairs())
-        return [lang != UNDETERMINED
-                and score >= (limits[size_class(t)] if limits else min_score)
-                for t, (lang, score) in zip(texts, model.predict(texts, cache[0]))]
+        return [lead <= limit for lead in model.strangeness(texts, cache[0])]
 
     return filter_batches(docs, text, keep)
 

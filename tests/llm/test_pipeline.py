@@ -37,9 +37,10 @@ def test_pipeline_keeps_what_the_stages_keep_one_by_one(spark):
         spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels", "benchmark"))
     texts = {r.doc_id: r.text for r in docs.collect()}
 
-    model = L.train_language_model(docs)
-    found = model.predict(list(texts.values()), model.pairs())
-    left = {k for k, (lang, score) in zip(texts, found) if lang != "und" and score >= L.MIN_SCORE}
+    model = L.train_language_model(docs, rejecting=True)
+    limit = L.fit_limit(docs, model)
+    found = model.strangeness(list(texts.values()), model.pairs())
+    left = {k for k, lead in zip(texts, found) if lead <= limit}
 
     kept = docs.filter(docs.doc_id.isin(list(left)))
     toxic = toxicity.train_toxicity_model(kept, labels)
