@@ -48,7 +48,9 @@ CONTEXT = 60
 #: Assumed number of quoting clean texts, against which a quotation's weight is learned.
 QUOTE_PRIOR = 1.0
 #: Distinct words remembered as free of matches; above that they are dropped.
-MAX_WORDS = 400_000
+MAX_WORDS = 150_000
+#: Characters of text whose words or heads are held together.
+HELD_CHARS = 1_000_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _WORD = re.compile(r"\w+")
 _QUOTES = "\"“”«»„‟‘’‹›"
@@ -193,7 +195,7 @@ class ToxicityModel:
 
     def scores(self, texts: list[str | None]) -> list[float]:
         found: list[float] = []
-        for part in slices(texts):
+        for part in slices(texts, HELD_CHARS):
             lower = [(texts[i] or "").lower() for i in part]
             words = [_WORD.findall(text) for text in lower]
             self.prepare(words)
@@ -270,17 +272,19 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id"
         return ToxicityModel([], [], prior)
 
     def heads_of(batch: pa.RecordBatch):
-        held: dict[tuple[str, bool], list[int]] = defaultdict(lambda: [0, 0])
-        for text, mark in zip(*(c.to_pylist() for c in batch.columns)):
-            words = {w for w in _WORD.findall(text.lower()) if not w.isdigit()}
-            for head in {w[:n] for w in words
-                         for n in range(MIN_STEM, min(len(w), MAX_TERM) + 1)}:
-                held[head, False][1 - mark] += 1
-            for word in words:
-                if len(word) <= MAX_TERM:
-                    held[word, True][1 - mark] += 1
-        yield {"head": [k[0] for k in held], "whole": [k[1] for k in held],
-               "toxic": [v[0] for v in held.values()], "clean": [v[1] for v in held.values()]}
+        texts, marks = (c.to_pylist() for c in batch.columns)
+        for part in slices(texts, HELD_CHARS):
+            held: dict[tuple[str, bool], list[int]] = defaultdict(lambda: [0, 0])
+            for i in part:
+                words = {w for w in _WORD.findall(texts[i].lower()) if not w.isdigit()}
+                for head in {w[:n] for w in words
+                             for n in range(MIN_STEM, min(len(w), MAX_TERM) + 1)}:
+                    held[head, False][1 - marks[i]] += 1
+                for word in words:
+                    if len(word) <= MAX_TERM:
+                        held[word, True][1 - marks[i]] += 1
+            yield {"head": [k[0] for k in held], "whole": [k[1] for k in held],
+                   "toxic": [v[0] for v in held.values()], "clean": [v[1] for v in held.values()]}
 
     heads = map_batches(rows, ["text", "toxic"], heads_of,
                         "head string, whole boolean, toxic long, clean long")
@@ -308,7 +312,7 @@ def _cover(model: ToxicityModel, rows: DataFrame) -> tuple[list[str], list[bool]
 
     def found_in(batch: pa.RecordBatch):
         texts, marks = (c.to_pylist() for c in batch.columns)
-        for part in slices(texts):
+        for part in slices(texts, HELD_CHARS):
             words = [set(_WORD.findall(texts[i].lower())) for i in part]
             model.prepare(words)
             found = [{m.term for w in ws if (m := model.known.get(w)) and not m.errors}
@@ -351,7 +355,7 @@ def _weigh(model: ToxicityModel, rows: DataFrame, n_toxic: int, n_clean: int) ->
     def matched(batch: pa.RecordBatch):
         found: Counter = Counter()
         texts, marks = (c.to_pylist() for c in batch.columns)
-        for part in slices(texts):
+        for part in slices(texts, HELD_CHARS):
             lower = [texts[i].lower() for i in part]
             words = [_WORD.findall(text) for text in lower]
             model.prepare(words)

@@ -46,7 +46,7 @@ def test_language_edge_cases(docs, odd, languages):
                     for k, t in odd)
     assert Counter((r.doc_id, None if r.lang_pred == "und" else "known") for r in rows) == texts
     assert L.predict_language(docs(*odd).limit(0), languages).collect() == []
-    kept = L.keep_known_language(docs(*odd), languages, min_score=0.0)
+    kept = L.keep_known_language(docs(*odd), languages)
     assert kept.columns == docs(*odd).columns
     assert kept.count() == sum(n for (_, known), n in texts.items() if known)
 
@@ -179,6 +179,25 @@ def test_misspellings_and_quotations(docs, toxic_model):
     assert quoted < plain
 
 
+def test_no_learned_term_is_cut_off():
+    """All significant terms are kept, however many, and longer words are no shorter ones."""
+    words = {f"{a}{b}{c}x": (50, 0) for a in "abcdefghijklm" for b in "nopqrstuvwxyz" for c in "abcdefghijklmnop"}
+    heads = {w[:n]: (50, 0) for w in words for n in (3, 4)}
+    terms, whole = T.learn_terms(words, heads, 0.01)
+    assert len(terms) == len(words) > 2_000 and all(whole)
+
+
+def test_words_longer_than_any_term_are_not_learned_as_one(spark, docs):
+    long_word = "q" * T.MAX_TERM + "zzz"
+    rows = [(i, f"good words here {long_word if i % 2 else 'calm'} number {i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    model = T.train_toxicity_model(docs(*rows), labels)
+    trie = model.trie
+    assert all(not w or t != long_word[:T.MAX_TERM] for t, w in zip(trie.terms, trie.whole))
+    scores = model.scores([f"say {long_word} now", "say nothing now"])
+    assert scores[0] > 0.9 > scores[1]
+
+
 def test_toxicity_edge_cases(docs, odd, toxic_model):
     rows = T.score_toxicity(docs(*odd), toxic_model).collect()
     assert Counter(r.doc_id for r in rows) == Counter(k for k, _ in odd)
@@ -265,6 +284,15 @@ def test_marginals_against_all_paths():
     assert np.allclose(pairs, want)
 
 
+def test_learned_lines_are_spread_over_the_text():
+    assert Q.spread_lines(list(range(32))) == list(range(32))
+    for n in (33, 50, 1_000, 100_000):
+        picked = Q.spread_lines(list(range(n)))
+        assert len(picked) == Q.SAMPLE_LINES and picked[0] == 0 and picked[-1] == n - 1
+        assert sorted(picked) == picked and len(set(picked)) == len(picked)
+        assert max(b - a for a, b in zip(picked, picked[1:])) <= n / 2
+
+
 def test_quality_of_the_table(spark):
     docs, labels = tables(spark, "documents", "labels")
     rows = Q.op3_quality_rules(spark, SF).join(labels, "doc_id", "left").collect()
@@ -360,14 +388,42 @@ def test_leaks_of_empty_tables(spark, docs):
     assert D.drop_contaminated(docs(*rows), table.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("size", [9, 27, 45, 180])
+def test_few_windows_at_the_threshold_lie_outside_the_radius(size):
+    """Votes of ``size`` shingles of which so many are shared that the similarity is just 0.8."""
+    draw = np.random.default_rng(size)
+    shared = min(c for c in range(size + 1) if c / (2 * size - c) >= D.SIMILARITY - 1e-12)
+
+    def votes(n):
+        return 2 * draw.binomial(n, 0.5, (20_000, D.BITS)) - n
+
+    both = votes(shared)
+    one, other = (D._fingerprints(both + votes(size - shared)) for _ in range(2))
+    assert ((one != other).sum(1) > D.RADIUS).sum() <= 2  # one in 10,000
+
+
 def test_blocks_find_every_fingerprint_within_the_radius():
     _, items = leak_rows()
     index = D.ItemIndex([i for i in items if i[1]])
     draw = random.Random(2)
-    for at in range(len(index.items)):
-        size = len(index.items[at][1])
-        for _ in range(20):
-            near = index.prints[at].copy()
-            near[draw.sample(range(D.BITS), D.RADIUS)] ^= 1
-            keys = index._blocks(near[None])[0]
-            assert any(at in block.get(key, ()) for block, key in zip(index.by_block[size], keys))
+    for at, words in enumerate(index.words):
+        prints = np.repeat(index.prints[at][None], 40, 0)
+        for i, near in enumerate(prints):
+            near[draw.sample(range(D.BITS), D.RADIUS + (i >= 20))] ^= 1
+        got = {window for window, item in index.near(len(words), prints) if item == at}
+        assert got == set(range(20))
+
+
+def test_an_index_takes_a_few_times_its_text():
+    import tracemalloc
+
+    draw = random.Random(9)
+    words = ["".join(draw.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(20_000)]
+    items = [(i, " ".join(draw.choices(words, k=60))) for i in range(2_000)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    index = D.ItemIndex(items)
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert taken < 10 * size
+    assert index.search("before " + items[77][1] + " after")[77][:2] == (1.0, 1)
