@@ -31,7 +31,7 @@ PART = 65_536
 #: A query stops reading where so many vectors are left, besides those it asks for.
 RESOLVE = 27
 #: Parts of the lists that are read before bounds are looked at.
-DEPTHS = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.85, 1)
+DEPTHS = (0.25, 0.5, 0.7, 0.85, 1)
 _EXACT = 2.0**52
 _LONG = (-(1 << 63), (1 << 63) - 1)
 _ENDS = (-(2.0**63), 2.0**63)
