@@ -225,7 +225,8 @@ def near_in_group(size: int, first: int, end: int, fixed: str,
         before, after = own[:low], own[low:]
         for i, others in enumerate(near):
             if others:
-                best = min(others, key=lambda j: (-some[j][1], opens[j]))
+                # Where one is the start of another, what lies behind the span is compared.
+                best = min(others, key=lambda j: (-some[j][1], opens[j] + after))
                 yield (before + opens[i] + after, len(others), before + opens[best] + after,
                        some[best][1])
 

@@ -99,3 +99,20 @@ def test_odd_rows(spark, docs, odd):
                   (k, "frequent frequent frequency") for k in range(30)]
     check(S.group_variants(S.vocabulary(docs(*more))), plain_words(more))
     assert S.group_variants(S.vocabulary(docs(*more).limit(0))).collect() == []
+
+
+def test_the_first_of_equal_forms_is_told_by_whole_words():
+    """``aazz`` ends where ``aab..`` goes on, so what lies behind the span decides."""
+    words = {"aaxbzzzz": 2, "aaxazzzz": 40, "aaxabzzzz": 40}
+    members = sorted((w[:len(w) - 4], n) for w, n in words.items())
+    found = {w: form for w, _, form, _ in S.near_in_group(8, 0, 4, "zzzz", members)}
+    assert found["aaxbzzzz"] == min("aaxazzzz", "aaxabzzzz") == "aaxabzzzz"
+
+
+def test_forms_of_dense_words_with_equal_counts(spark):
+    draw = random.Random(9)
+    for letters in ("ab", "abcz"):
+        words = {"".join(draw.choice(letters) for _ in range(draw.choice((7, 8, 9, 10)))):
+                 draw.choice((2, 2, 40)) for _ in range(600)}
+        frame = spark.createDataFrame(list(words.items()), "word string, n long")
+        check(S.group_variants(frame), words)
