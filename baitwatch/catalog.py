@@ -325,8 +325,8 @@ def _streamed_scans(spark: SparkSession, sf: str, repeats: int = 1) -> str:
     With ``repeats`` every mail is handed in so many times, a minute apart.
     """
     schema = X.table(spark, sf, "documents").schema
-    documents = spark.readStream.schema(schema).option(
-        "pathGlobFilter", "documents.parquet").parquet(sf)
+    # A table is a file or a folder of files. A stream takes a single file only by a pattern.
+    documents = spark.readStream.schema(schema).parquet(f"{sf}/[d]ocuments.parquet")
     # A micro-batch has few files; its rows are spread over all cores.
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     documents = documents.repartition(partitions, "doc_id")

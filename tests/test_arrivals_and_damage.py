@@ -1,10 +1,13 @@
 """Mail that arrives twice, and files with damaged rows."""
 
 import datetime as dt
+import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from baitwatch import catalog
 from baitwatch.sources import damaged
 from baitwatch.streaming.scan_stream import first_arrivals, stream_scan
 
@@ -88,3 +91,15 @@ def test_a_file_without_the_columns_is_refused(spark, tmp_path):
         damaged.read_checked(spark, write(tmp_path, "c.csv", b"label,text\nspam,x\n"))
     named = damaged.read_checked(spark, write(tmp_path, "d.csv", b"spam,x\nham,y\n"), ("label", "email_text"))
     assert named.filter(F.col("problem").isNull()).count() == 2
+
+
+@pytest.mark.parametrize("name", ["stream_scan", "stream_resubmitted", "stream_link_check"])
+def test_a_table_in_several_files_is_streamed_like_one_file(spark, tmp_path, name):
+    small = "/root/testdata/sf0.001"
+    for path in glob.glob(f"{small}/*.parquet"):
+        if not path.endswith("/documents.parquet"):
+            os.symlink(path, tmp_path / os.path.basename(path))
+    documents = spark.read.parquet(f"{small}/documents.parquet")
+    documents.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    query = catalog.queries()[name]
+    assert sorted(query(spark, str(tmp_path)).collect()) == sorted(query(spark, small).collect()) != []
