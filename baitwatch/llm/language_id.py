@@ -262,18 +262,17 @@ def predict_language(docs: DataFrame, model: ByteConvNet, key: str = "doc_id",
 
 
 def fit_limit(docs: DataFrame, model: ByteConvNet, key: str = "doc_id", text: str = "text",
-              lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> float:
+              lang: str = "lang") -> float:
     """The strangeness up to which texts are kept: ``MARGIN`` above that of every labelled row
-    with a letter in a bounded sample of those that the model didn't learn from, and of zero.
+    with a letter that the model didn't learn from, the held-out third, and of zero.
 
-    One limit holds for texts of all sizes.
+    All of these rows are measured, whole. One limit holds for texts of all sizes.
     """
     if not model.languages:
         return 0.0
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"),
                        docs[lang].alias("lang"))
-    rows = sample_by_hash(rows.filter((fold("doc_id", 3) == 1) & F.col("lang").isNotNull()),
-                          "doc_id", sample_rows)
+    rows = rows.filter((fold("doc_id", 3) == 1) & F.col("lang").isNotNull())
     cache: list = []
 
     def measure(batch: pa.RecordBatch):

@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from baitwatch.llm import language_id as L
@@ -55,3 +57,18 @@ def test_strange_windows_are_as_long_as_the_learned_ones():
     assert strange.shape == data.shape
     assert (np.count_nonzero(strange, axis=1) <= np.count_nonzero(data, axis=1)).all()
     assert sorted(strange[1]) == sorted(data[1]) and (strange[1] != data[1]).any()
+
+
+def test_limit_is_taken_from_every_held_out_row(spark):
+    """One strange labelled row among 20,000 counts, wherever its id hashes to."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    model = L.train_language_model(documents, rejecting=True)
+    texts = {k: "the weather was fine and the bus came on time" for k in range(60_000)
+             if L.fold_of(k, 3) == 1}
+    plain = spark.createDataFrame([(k, t, "en") for k, t in texts.items()], "doc_id long, text string, lang string")
+    assert len(texts) > 2 * L.SAMPLE_ROWS
+    lead = max(model.strangeness([STRANGE[2]], model.pairs()))
+    keys = sorted(texts)[::4_000]
+    for key in keys:
+        text = F.when(F.col("doc_id") == key, STRANGE[2]).otherwise(F.col("text"))
+        assert L.fit_limit(plain.withColumn("text", text), model) == pytest.approx(lead + L.MARGIN, rel=1e-4)
