@@ -163,11 +163,18 @@ def mail_from(documents: DataFrame, labels: DataFrame, pages: DataFrame) -> Data
     """``mail(mail_id, source, raw_label, bad, email_text)`` for a document table or stream."""
     n_pages = pages.select(F.count("*")).scalar()
     kind = F.pmod("doc_id", F.lit(N_TEMPLATES))
-    docs = documents.select(
-        "doc_id", "source", "text", F.pmod(F.col("doc_id"), n_pages).alias("page_id")
-    )
-    docs = docs.join(pages.select("page_id", "url"), "page_id", "left")
-    docs = docs.join(labels.select("doc_id", "toxic"), "doc_id", "left")
+    docs = documents.select("doc_id", "source", "text")
+
+    def with_sides(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("page_id", F.pmod(F.col("doc_id"), n_pages))
+        rows = rows.join(pages.select("page_id", "url"), "page_id", "left")
+        return rows.join(labels.select("doc_id", "toxic"), "doc_id", "left")
+
+    if documents.isStreaming:
+        docs = with_sides(docs)
+    else:
+        # Side tables are found for the ids alone, so that texts stay where they were spread.
+        docs = docs.join(with_sides(documents.select("doc_id").distinct()), "doc_id", "left")
 
     def placed(part: str) -> Column:
         text = F.replace(
@@ -252,6 +259,9 @@ LATE_ENTRY = "ord % 5 = 2"
 #: Scans of the second of two batches.
 SECOND_BATCH = "id % 3 = 0"
 
+#: Buckets of up to a megabyte a table of snapshots has before they grow, and what they grow to.
+SNAPSHOT_BUCKETS, SNAPSHOT_BYTES = 32, 32 << 20
+
 _stored: dict[tuple[str, str, str], str] = {}
 
 
@@ -276,10 +286,12 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_snapshots(spark: SparkSession, sf_dir: str) -> str:
-    """Where the scans are a table of snapshots, anew for each change; small buckets, so that
-    small tables have several."""
+    """Where the scans are a table of snapshots, anew for each change; the buckets of a small
+    table are small, so that it has several, those of a large one larger instead of more."""
     path = work_folder(spark, "snapshots")
-    own = snapshots.buckets_for(table(spark, sf_dir, "documents"), "text", 1 << 20)
+    docs = table(spark, sf_dir, "documents")
+    own = max(min(snapshots.buckets_for(docs, "text", 1 << 20), SNAPSHOT_BUCKETS),
+              snapshots.buckets_for(docs, "text", SNAPSHOT_BYTES))
     snapshots.create(scans(spark, sf_dir), path, own)
     return path
 

@@ -85,7 +85,8 @@ def _write(rows: DataFrame, path: str, buckets: int, key: str) -> str:
     """Rows in a folder per bucket, sorted by key, and an empty table that keeps their schema."""
     folder = f"{path}/data/{uuid.uuid4().hex}"
     placed = rows.withColumn("bucket", bucket_of(F.col(key), buckets))
-    placed.repartition("bucket").sortWithinPartitions("bucket", key).write.partitionBy(
+    parts = max(buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed.repartition(parts, "bucket").sortWithinPartitions("bucket", key).write.partitionBy(
         "bucket").parquet(f"{folder}/rows")
     rows.limit(0).write.parquet(f"{folder}/schema")
     return folder

@@ -6,8 +6,9 @@ import pathlib
 import pytest
 from pyspark.sql import functions as F
 
+from baitwatch import fixture as X
 from baitwatch.operators import scans
-from baitwatch.plans import snapshots
+from baitwatch.plans import snapshots, spread
 
 ROWS = [(i, f"text {i}" * 10, "" if i % 3 else None) for i in range(200)]
 SCHEMA = "id long, email_text string, note string"
@@ -90,3 +91,23 @@ def test_everything_deleted_and_empty_tables(spark, table, tmp_path):
     snapshots.create(rows.limit(0), empty, 4)
     assert snapshots.read(spark, empty).columns == rows.columns
     assert snapshots.buckets_for(rows, "email_text", 1_000) > 10 and snapshots.buckets_for(rows.limit(0), "email_text") == 1
+
+
+def test_more_text_is_spread_over_more_tasks(spark, monkeypatch):
+    """No task gets more than its share, and no join moves the texts again."""
+    small = "/root/testdata/sf0.001"
+    documents = X.table(spark, small, "documents")
+    size = documents.selectExpr("sum(octet_length(text))").first()[0]
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spread.spread(documents, "doc_id").rdd.getNumPartitions() == least
+    monkeypatch.setattr(spread, "PART_BYTES", size // 40)
+    assert spread.spread(documents, "doc_id").rdd.getNumPartitions() >= 40
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mail = X.mail(spark, small)
+        assert mail.rdd.getNumPartitions() >= 40
+        plain = X.mail_from(documents, X.table(spark, small, "labels"), X.table(spark, small, "pages"))
+        assert sorted(mail.collect()) == sorted(plain.collect()) != []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
