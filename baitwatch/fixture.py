@@ -18,6 +18,7 @@ from baitwatch.functions.text import sql_array
 from baitwatch.functions.urls import plain_letters
 from baitwatch.operators.detect import analyse_mail
 from baitwatch.operators.link_index import add_links
+from baitwatch.operators.search_index import BUCKETS as INDEX_BUCKETS
 from baitwatch.operators.search_index import add_to_index
 from baitwatch.operators.validate import valid_mail
 from baitwatch.plans import snapshots
@@ -262,6 +263,9 @@ SECOND_BATCH = "id % 3 = 0"
 #: Buckets of up to a megabyte a table of snapshots has before they grow, and what they grow to.
 SNAPSHOT_BUCKETS, SNAPSHOT_BYTES = 32, 32 << 20
 
+#: Bytes of text whose trigrams are in one bucket of a search index.
+INDEX_BYTES = 64 << 20
+
 _stored: dict[tuple[str, str, str], str] = {}
 
 
@@ -300,8 +304,10 @@ def search_index(spark: SparkSession, sf_dir: str) -> str:
     """Name of a search index over all scans, filled by two batches."""
 
     def write(name: str, path: str) -> None:
+        own = max(INDEX_BUCKETS, snapshots.buckets_for(
+            table(spark, sf_dir, "documents"), "text", INDEX_BYTES))
         for batch in (f"NOT ({SECOND_BATCH})", SECOND_BATCH):
-            add_to_index(scans(spark, sf_dir).filter(batch), name, path)
+            add_to_index(scans(spark, sf_dir).filter(batch), name, path, buckets=own)
 
     return _once(spark, sf_dir, "search", write)
 

@@ -1,9 +1,9 @@
 """Search of stored scans over an index of trigrams.
 
 Postings are lists of ids for each trigram of a scan's text, note and flags, cut by block of
-ids, so a trigram that every scan has makes many short lists instead of one long one. They
-are stored in buckets of the trigram, and a batch of new scans adds files without touching
-old ones. Texts are stored in a folder per block, so a search reads the blocks that hold
+ids, so a trigram that every scan has makes many short lists instead of one long one. A list
+is made by the task that has the block, which keeps only the low bits of its ids. Lists are
+stored in buckets of the trigram, and a batch of new scans adds files without touching old ones. Texts are stored in a folder per block, so a search reads the blocks that hold
 candidates and verifies those with the very pattern of a search without an index.
 """
 
@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from baitwatch.operators.history import filter_risk, search_scans
+from baitwatch.operators.trigram_lists import block_lists
 from baitwatch.plans.session import work_folder
 from baitwatch.registry import HISTORY_PAGE
 
@@ -27,33 +29,24 @@ LOOKED_UP = 6
 BUCKETS = 16
 
 
-def folded(text: Column) -> Column:
-    """Upper-case ASCII letters as lower-case ones, the only case a search ignores."""
-    return F.translate(text, ascii_uppercase, ascii_lowercase)
-
-
 def block_of(key: Column, bits: int = BLOCK_BITS) -> Column:
     return F.shiftright(key, bits)
 
 
-def trigrams(text: Column) -> Column:
-    """Every distinct trigram of a text, as an array; a look-ahead finds them in one pass."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
-
-
 def postings(scans: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
-    """``gram, block, ids, n`` of a batch of scans; the ids of a list are in order.
+    """``gram, block, base, places, n`` of scans with their ``block``; a place is what is left
+    of an id when ``base``, the first id of its block, is taken off.
 
     Text, note and flags are indexed one by one, as a search looks at them one by one.
-    Null parts have no trigrams.
+    Null parts have no trigrams. Lists are made where the rows are, so no row per trigram and
+    scan is ever moved; scans of a block should lie together, or it has more lists.
     """
-    parts = F.array("email_text", "note", F.array_join("flags", "\n"))
-    grams = F.array_distinct(F.flatten(F.transform(
-        F.filter(parts, lambda p: p.isNotNull()), lambda p: trigrams(folded(p)))))
-    rows = scans.select("id", F.explode(grams).alias("gram"))
-    lists = rows.groupBy("gram", block_of(F.col("id"), bits).alias("block")).agg(
-        F.array_sort(F.collect_list("id")).alias("ids"))
-    return lists.withColumn("n", F.size("ids"))
+    parts = (F.col("email_text"), F.col("note"), F.array_join("flags", "\n"))
+    rows = scans.select("id", "block", *[p.cast("binary").alias(f"part{i}") for i, p in enumerate(parts)])
+    # Places of up to 15 bits are never negative as short numbers.
+    kind = "smallint" if bits < 16 else "int"
+    return rows.mapInArrow(lambda batches: block_lists(batches, bits),
+                           f"gram string, block long, base long, places array<{kind}>, n int")
 
 
 def add_to_index(
@@ -62,22 +55,29 @@ def add_to_index(
     """Adds a batch of scans to the tables ``name_postings`` and ``name_scans`` below ``path``.
 
     Scans that are stored are left out, so a batch that runs again changes nothing; only ids in
-    the blocks of the batch are compared. Postings are written first: a run that fails
-    between the two leaves ids without a scan, which no search returns.
+    the blocks of the batch are compared, and texts only meet them if one is stored already.
+    Postings are written first: a run that fails between the two leaves ids without a scan,
+    which no search returns. Both are written from one copy, moved to its blocks once.
     """
     spark = scans.sparkSession
     rows = scans.withColumn("block", block_of(F.col("id"), bits))
+    low, high, blocks = rows.agg(F.min("block"), F.max("block"), F.countDistinct("block")).first()
     if spark.catalog.tableExists(f"{name}_scans"):
-        low, high = rows.agg(F.min("block"), F.max("block")).first()
         if low is None:
             return
         known = spark.table(f"{name}_scans").filter(F.col("block").between(low, high))
-        rows = rows.join(known.select("block", "id"), ["block", "id"], "left_anti").select(*rows.columns)
-    lists = postings(rows, bits).repartition(buckets, "gram")
+        again = rows.select("block", "id").join(known.select("block", "id"), ["block", "id"], "left_semi")
+        if not again.isEmpty():
+            rows = rows.join(again, ["block", "id"], "left_anti").select(*rows.columns)
+    # With two partitions a block few hold several.
+    placed = rows.repartition(max(1, 2 * blocks), "block").sortWithinPartitions("block", "id")
+    placed = placed.persist(StorageLevel.DISK_ONLY)
+    lists = postings(placed, bits).repartition(buckets, "gram")
     lists.write.bucketBy(buckets, "gram").sortBy("gram").option(
         "path", f"{path}/postings").mode("append").saveAsTable(f"{name}_postings")
-    rows.repartition("block").sortWithinPartitions("block", "id").write.partitionBy(
-        "block").option("path", f"{path}/scans").mode("append").saveAsTable(f"{name}_scans")
+    placed.write.partitionBy("block").option(
+        "path", f"{path}/scans").mode("append").saveAsTable(f"{name}_scans")
+    placed.unpersist()
 
 
 def query_grams(query: str, literal: bool = False) -> list[str]:
@@ -99,15 +99,17 @@ def candidates(index: DataFrame, grams: list[str]) -> DataFrame:
 
     def lists(gram: str) -> DataFrame:
         # Batches may have added to one block, each with ids of its own.
-        own = index.filter(F.col("gram") == gram).groupBy("block")
-        return own.agg(F.flatten(F.collect_list("ids")).alias("ids"))
+        own = index.filter(F.col("gram") == gram).groupBy("block", "base")
+        return own.agg(F.flatten(F.collect_list("places")).alias("places"))
 
     left = lists(rarest[0])
     for gram in rarest[1:]:
-        other = lists(gram).withColumnRenamed("ids", "more")
+        other = lists(gram).select("block", F.col("places").alias("more"))
         left = left.join(other, "block").select(
-            "block", F.array_intersect("ids", "more").alias("ids")).filter(F.size("ids") > 0)
-    return left.select(F.explode("ids").alias("id"), "block")
+            "block", "base", F.array_intersect("places", "more").alias("places")).filter(
+            F.size("places") > 0)
+    found = left.select("block", "base", F.explode("places").alias("place"))
+    return found.select((F.col("base") + F.col("place")).alias("id"), "block")
 
 
 def indexed_search(
