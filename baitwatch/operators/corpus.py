@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from baitwatch.functions.text import strip
-from baitwatch.plans.hash_sample import smallest_by_hash
+from baitwatch.plans.hash_sample import ranked, seeded_hash, smallest_by_hash
 from baitwatch.plans.once import once
 from baitwatch.registry import (
     LEGITIMATE_CORPORA,
@@ -58,14 +58,13 @@ def focused_splits(
 ) -> DataFrame:
     """Tuning and holdout rows, ``per_class`` of each class in each split.
 
-    The window only sees the ``2 * per_class`` rows picked for a class, never the
-    corpus.
+    Both ends are found on hashes and keys; no text is sorted or moved.
     """
-    picked = smallest_by_hash(pool_focused(corpus), 2 * per_class, seed, key, group="label")
-    place = F.row_number().over(Window.partitionBy("label").orderBy("_hash", key))
+    pool = pool_focused(corpus).withColumn("_hash", seeded_hash(seed, key))
+    picked = ranked(pool, key, [per_class, 2 * per_class], group="label")
     return picked.withColumn(
-        "split", F.when(place <= per_class, "tuning").otherwise("holdout")
-    ).drop("_hash")
+        "split", F.when(F.col("_part") == 0, "tuning").otherwise("holdout")
+    ).drop("_hash", "_part")
 
 
 def split_overlap(splits: DataFrame, key: str = "row_id") -> DataFrame:

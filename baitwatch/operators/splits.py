@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from baitwatch.operators.corpus import pool_focused, pool_labelled
-from baitwatch.plans.hash_sample import deepest, depth, seeded_hash, smallest_by_hash
+from baitwatch.plans.hash_sample import deepest, depth, ranked, seeded_hash, smallest_by_hash
 from baitwatch.registry import (
     MIXED_SAMPLE_ROWS,
     MIXED_SEED,
@@ -102,4 +102,4 @@ def merged_state(*states: DataFrame, n: int = MIXED_SAMPLE_ROWS, key: str = "row
     rows = states[0]
     for state in states[1:]:
         rows = rows.unionByName(state)
-    return rows.orderBy("_hash", key).limit(n)
+    return ranked(rows, key, [n]).drop("_part")

@@ -7,8 +7,9 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from baitwatch.operators import splits
-from baitwatch.plans.hash_sample import smallest_by_hash
+from baitwatch.operators import corpus, splits
+from baitwatch.plans import hash_sample
+from baitwatch.plans.hash_sample import ranked, seeded_hash, smallest_by_hash
 
 
 def pool(spark):
@@ -91,3 +92,48 @@ def test_states_merge_to_the_sample_of_all_files(spark):
     for state in states[:3]:  # one file after the other, in another order
         grown = splits.merged_state(grown, state, n=50)
     assert {r.row_id for r in grown.collect()} == want and len(want) == 50
+
+
+def raw_rows(spark, n):
+    rows = [(i, ("Enron", "Nazario", "CEAS_08")[i % 3], "01"[i % 2], "s", f"body {i}") for i in range(n)]
+    return spark.createDataFrame(
+        rows, "row_id long, source string, label string, subject string, body string")
+
+
+@pytest.mark.parametrize("sample", [
+    lambda raw: splits.merged_state(
+        splits.sample_state(raw.filter("row_id < 400"), 200, 9),
+        splits.sample_state(raw.filter("row_id >= 400"), 200, 9), n=200),
+    lambda raw: corpus.mixed_sample(raw, 200, 9),
+    lambda raw: corpus.focused_splits(raw, 60, 9),
+])
+def test_no_task_gets_a_whole_sample(spark, sample):
+    """A sample may be a fourth of the table, so its rows are read where they are."""
+    plan = sample(raw_rows(spark, 800))._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Limit", "TakeOrdered", "Sort", "Window", "SinglePartition"))
+
+
+@pytest.mark.parametrize("few, digits", [(1, 1), (5, 3), (10_000, 3)])
+def test_ranks_are_those_of_the_plain_order(spark, monkeypatch, few, digits):
+    monkeypatch.setattr(hash_sample, "FEW", few)
+    monkeypatch.setattr(hash_sample, "DIGITS", digits)
+    rows = [(i, "ab"[i % 7 < 2], f"k{i}") for i in range(500)] + [(None, "a", None)]
+    df = spark.createDataFrame(rows, "i long, label string, k string").withColumn("_hash", seeded_hash(3, "k"))
+    # Rows of one hash, of which a rank may take some.
+    one = F.when(F.col("i").between(100, 160), F.lit("7" * 32)).otherwise(F.col("_hash"))
+    df = df.withColumn("_hash", one)
+    order = sorted((r for r in df.collect() if r.k), key=lambda r: (r["_hash"], r.k))
+    at = [j for j, r in enumerate(order) if r["_hash"] == "7" * 32]
+    for ranks in ([at[0] + 30], [0], [1], [len(order)], [len(order) + 1], [at[0] + 1, at[-1] + 1], [0, 9]):
+        got = {r.k: r["_part"] for r in ranked(df, "k", ranks).collect()}
+        want = {r.k: next(i for i, n in enumerate(ranks) if j < n)
+                for j, r in enumerate(order) if j < max(ranks)}
+        assert got == want, ranks
+    got = {r.k: r["_part"] for r in ranked(df, "k", [60, 120], "label").collect()}
+    want = {}
+    for label in "ab":
+        own = [r.k for r in order if r.label == label]
+        want |= {k: j // 60 for j, k in enumerate(own[:120])}
+    assert got == want
+    assert ranked(df.limit(0), "k", [5], "label").collect() == []
+    assert ranked(df.limit(0), "k", [5]).collect() == []
